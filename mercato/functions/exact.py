@@ -22,7 +22,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def percent(numerator: Column, denominator: Column, digits: int = 2) -> Column:
     """``100 * numerator / denominator``, multiplied before it is divided."""
-    return F.round(ratio(numerator * 100, denominator), digits)
+    return F.round(ratio(numerator * 100, denominator), digits).cast(f"decimal(18,{digits})")
 
 
 def mean(column: Column) -> Column:

@@ -170,8 +170,8 @@ def delivered(status: Column) -> Column:
 # Growth
 
 
-def growth_class(revenue: Column, baseline: Column, cut: Cutoffs = DEFAULTS) -> Column:
-    against = ratio(revenue, baseline)
+def growth_class(against: Column, baseline: Column, cut: Cutoffs = DEFAULTS) -> Column:
+    """``against`` is revenue over the baseline."""
     return ladder(
         (against > cut.peak_above, "Seasonal Peak"),
         (against < cut.slow_below, "Slow Period"),

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import ratio
-
 
 def figure(df: DataFrame, aggregate: Column) -> Column:
     """One aggregate over all of ``df`` as a column (a scalar subquery)."""
     return df.agg(aggregate).scalar()
 
 
-def with_label_mean(
-    df: DataFrame, label: str, partial_sums: DataFrame, name: str
+def with_label_sums(
+    df: DataFrame, label: str, partial_sums: DataFrame, total: str, count: str
 ) -> DataFrame:
-    """Add the mean of a value among the rows with the same ``label``.
+    """Add a total and a count over all rows with the same ``label``.
 
-    ``partial_sums`` has the columns ``label``, ``_sum`` and ``_count``.
-    ``label`` takes a handful of fixed values (or NULL, which forms a group of
-    its own), hence the broadcast.
+    ``partial_sums`` holds both under their names, next to ``label``, for any
+    finer grouping. ``label`` takes a handful of fixed values (or NULL, which
+    forms a group of its own), hence the broadcast.
     """
-    means = partial_sums.groupBy(F.col(label).alias("_label")).agg(
-        ratio(F.sum("_sum"), F.sum("_count")).alias(name)
+    sums = partial_sums.groupBy(F.col(label).alias("_label")).agg(
+        F.sum(total).alias(total), F.sum(count).alias(count)
     )
     return df.join(
-        F.broadcast(means), F.col(label).eqNullSafe(F.col("_label")), "left"
+        F.broadcast(sums), F.col(label).eqNullSafe(F.col("_label")), "left"
     ).drop("_label")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.dates import date_between, month_label, month_of
-from mercato.functions.exact import MONEY, money, money_mean_over, percent
+from mercato.functions.exact import MONEY, money, money_mean_over, percent, ratio
 
 
 # The windows in this module have no partition key: they run over one row per
@@ -97,17 +97,21 @@ def seasonality(
     frames = {"rolling": _by_month().rowsBetween(-3, -1), "global": Window.partitionBy()}
     if baseline not in frames:
         raise ValueError(f"unknown baseline: {baseline}")
-    revenue, usual = F.col("current_month_revenue"), F.col("_usual_revenue")
+    revenue, frame = F.col("current_month_revenue"), frames[baseline]
+    # Revenue over the mean of the frame, without rounding the mean first.
+    scaled, total = revenue * F.col("_months"), F.col("_revenue")
     return (
-        months.withColumn("_usual_revenue", money_mean_over(revenue, frames[baseline]))
+        months.withColumns(
+            {"_months": F.count(revenue).over(frame), "_revenue": F.sum(revenue).over(frame)}
+        )
         .withColumns(
             {
-                "seasonality_index": percent(revenue, usual),
-                "growth_classification": rules.growth_class(revenue, usual, cut),
+                "seasonality_index": percent(scaled, total),
+                "growth_classification": rules.growth_class(ratio(scaled, total), total, cut),
                 "cycle_event": rules.calendar_event(F.col("sales_month")),
             }
         )
-        .drop("_usual_revenue")
+        .drop("_months", "_revenue")
     )
 
 

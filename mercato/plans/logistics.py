@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.exact import ratio
-from mercato.operators.statistics import with_label_mean
+from mercato.operators.statistics import with_label_sums
 
 
 def unit_economics(
@@ -21,7 +21,7 @@ def unit_economics(
     # Freight is added up per seller before sellers are looked up.
     per_seller = (
         fct.groupBy("seller_id")
-        .agg(F.sum("freight_value").alias("_sum"), F.count("freight_value").alias("_count"))
+        .agg(F.sum("freight_value").alias("_freight"), F.count("freight_value").alias("_priced"))
         .join(places, "seller_id", "left")
     )
     paid = orders.select(
@@ -35,20 +35,15 @@ def unit_economics(
         .join(paid, "order_id", "left")
         .join(places, "seller_id", "left")
     )
-    freight = F.col("freight_value")
+    freight, total, priced = F.col("freight_value"), F.col("_freight"), F.col("_priced")
     return (
-        with_label_mean(lines, "brazil_region", per_seller, "regional_avg_freight")
+        with_label_sums(lines, "brazil_region", per_seller, "_freight", "_priced")
         .withColumns(
             {
+                "regional_avg_freight": ratio(total, priced),
                 "freight_ratio": F.round(ratio(freight, F.col("price")), 4),
-                "regional_efficiency_index": F.round(
-                    # Both operands widened by hand: the mean keeps 12 digits.
-                    freight.cast("decimal(22,2)")
-                    / F.nullif(
-                        F.col("regional_avg_freight").cast("decimal(24,12)"), F.lit(0)
-                    ),
-                    2,
-                ),
+                # Freight over the mean, without rounding the mean first.
+                "regional_efficiency_index": F.round(ratio(freight * priced, total), 2),
             }
         )
         .select(

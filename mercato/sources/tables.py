@@ -19,6 +19,7 @@ def read_table(
 
     A CSV may hold more columns than the schema, in any order: its header
     names are matched, and values that do not fit their type are an error.
+    Nothing between two commas is NULL, ``""`` is the empty string.
     """
     if form == "parquet":
         return spark.read.schema(schema).parquet(path)
@@ -35,7 +36,7 @@ def read_table(
     return (
         spark.read.schema(full)
         .options(header=True, quote='"', escape='"', multiLine=False, mode="FAILFAST")
-        .options(timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+        .options(timestampNTZFormat="yyyy-MM-dd HH:mm:ss", nullValue="\\N", emptyValue="")
         .csv(path)
         .select(*schema.names)
     )
