@@ -11,18 +11,18 @@ from pyspark.sql import types as T
 
 from mercato.plans.warehouse import Warehouse
 from mercato.session import tune
-from mercato.sources.retail import RANGE_END, RANGE_START, raw_from_retail
+from mercato.sources.retail import RANGE_END, RANGE_START, RetailTables
 
 
 class RetailWarehouse(Warehouse):
     """A warehouse over the retail tables; ``raw`` holds the derived tables."""
 
-    raw: dict[str, DataFrame]
+    raw: RetailTables
     spark: SparkSession
 
 
 def open_warehouse(spark: SparkSession, folder: str, **options) -> RetailWarehouse:
-    raw = raw_from_retail(tune(spark), folder)
+    raw = RetailTables(tune(spark), folder)
     warehouse = RetailWarehouse.from_raw(raw, start=RANGE_START, end=RANGE_END, **options)
     warehouse.raw, warehouse.spark = raw, spark
     return warehouse

@@ -39,5 +39,10 @@ def money_mean_over(column: Column, window: WindowSpec) -> Column:
     return ratio(F.sum(column).over(window), F.count(column).over(window))
 
 
+def item_value(column: Column) -> Column:
+    """Amount of one item; narrow enough to be kept in 8 bytes."""
+    return F.round(column, 2).cast("decimal(14,2)")
+
+
 def money(column: Column) -> Column:
     return F.round(column, 2).cast(MONEY)

@@ -252,12 +252,10 @@ def dependency_segment(rank: Column, cut: Cutoffs = DEFAULTS) -> Column:
 def lane_risk(
     late_items: Column, items: Column, score: Column, cut: Cutoffs = DEFAULTS
 ) -> Column:
-    late_share = ratio(late_items, items)
+    """The late share is compared by multiplying, as a lane always has items."""
+    critical = late_items > items * F.lit(cut.critical_late_above)
     return ladder(
-        (
-            (late_share > cut.critical_late_above) & (score < cut.critical_score_below),
-            "Critical Risk Lane",
-        ),
-        (late_share > cut.bottleneck_late_above, "Logistical Bottleneck"),
+        (critical & (score < cut.critical_score_below), "Critical Risk Lane"),
+        (late_items > items * F.lit(cut.bottleneck_late_above), "Logistical Bottleneck"),
         otherwise="Stable Lane",
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.exact import MONEY, money_mean
+from mercato.operators.joins import large_join
 from mercato.operators.ranking import first_rows
 from mercato.operators.statistics import figure
 
@@ -53,32 +54,29 @@ def customer_journey(
         F.col("order_id").alias("first_order_id"),
         F.col("review_score").alias("first_order_review_score"),
     )
-    touches = first_touches(fct).join(scores, "first_order_id", "left")
+    touches = large_join(first_touches(fct), scores, "first_order_id", "left")
     last_day = figure(fct, F.max("purchase_date"))
     first_day = F.col("first_order").cast("date")
     recent_day = F.col("recent_order").cast("date")
     recency = F.datediff(last_day, recent_day)
-    return (
-        customers.join(customer_stats(fct), "customer_unique_id")
-        .join(touches, "customer_unique_id", "left")
-        .select(
-            "customer_unique_id",
-            "customer_city",
-            "customer_state",
-            first_day.alias("first_order_date"),
-            "first_order_review_score",
-            "second_order_date",
-            rules.returned_within(first_day, F.col("second_order_date"), cut).alias(
-                "is_returned_90d"
-            ),
-            recent_day.alias("recent_order_date"),
-            "total_lifetime_orders",
-            "total_lifetime_revenue",
-            (F.col("customer_lifespan_days") + 1).alias("customer_lifespan_days"),
-            "is_repeat_buyer",
-            recency.alias("recency_days"),
-            rules.churned(recency, cut).alias("is_churned"),
-        )
+    buyers = large_join(customers, customer_stats(fct), "customer_unique_id")
+    return large_join(buyers, touches, "customer_unique_id", "left").select(
+        "customer_unique_id",
+        "customer_city",
+        "customer_state",
+        first_day.alias("first_order_date"),
+        "first_order_review_score",
+        "second_order_date",
+        rules.returned_within(first_day, F.col("second_order_date"), cut).alias(
+            "is_returned_90d"
+        ),
+        recent_day.alias("recent_order_date"),
+        "total_lifetime_orders",
+        "total_lifetime_revenue",
+        (F.col("customer_lifespan_days") + 1).alias("customer_lifespan_days"),
+        "is_repeat_buyer",
+        recency.alias("recency_days"),
+        rules.churned(recency, cut).alias("is_churned"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.exact import ratio
+from mercato.operators.joins import large_join
 from mercato.operators.statistics import with_label_sums
 
 
@@ -30,11 +31,8 @@ def unit_economics(
         "max_installments",
         "total_order_payment_value",
     )
-    lines = (
-        fct.select("sales_key", "order_id", "seller_id", "price", "freight_value")
-        .join(paid, "order_id", "left")
-        .join(places, "seller_id", "left")
-    )
+    sold = fct.select("sales_key", "order_id", "seller_id", "price", "freight_value")
+    lines = large_join(sold, paid, "order_id", "left").join(places, "seller_id", "left")
     freight, total, priced = F.col("freight_value"), F.col("_freight"), F.col("_priced")
     return (
         with_label_sums(lines, "brazil_region", per_seller, "_freight", "_priced")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.exact import MONEY, mean, money_mean_over
+from mercato.operators.joins import large_join
 from mercato.operators.statistics import figure
 
 
@@ -25,18 +26,16 @@ def category_metrics(
     day, value = F.col("purchase_date"), F.col("item_total_value")
     scored = orders.select("order_id", "review_score", F.lit(1).alias("_known"))
     known, score = F.col("_known") == 1, F.col("review_score")
-    lines = (
-        fct.select("order_id", "product_id", "purchase_date", "item_total_value")
-        .join(products.select("product_id", "product_category"), "product_id")
-        .join(scored, "order_id", "left")
-        .withColumns(
-            {
-                "_known_order": F.when(known, F.col("order_id")),
-                "_known_value": F.when(known, value),
-                "_recent": F.when(rules.recent_band(day, last_day, cut), value).otherwise(0),
-                "_previous": F.when(rules.previous_band(day, last_day, cut), value).otherwise(0),
-            }
-        )
+    sold = fct.select("order_id", "product_id", "purchase_date", "item_total_value").join(
+        products.select("product_id", "product_category"), "product_id"
+    )
+    lines = large_join(sold, scored, "order_id", "left").withColumns(
+        {
+            "_known_order": F.when(known, F.col("order_id")),
+            "_known_value": F.when(known, value),
+            "_recent": F.when(rules.recent_band(day, last_day, cut), value).otherwise(0),
+            "_previous": F.when(rules.previous_band(day, last_day, cut), value).otherwise(0),
+        }
     )
     return (
         lines.groupBy("product_category")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.exact import MONEY, mean, percent
+from mercato.operators.joins import large_join
 from mercato.operators.ranking import percent_rank_desc
 
 LANE_KEYS = [
@@ -29,32 +30,22 @@ def seller_lanes(
     """Items per category, seller and customer state; unmatched items drop out."""
     # The order join comes first: a fact built from orders is already
     # partitioned by order. Customers are looked up by a second shuffle.
-    lines = (
-        fct.select(
-            "order_id", "product_id", "seller_id", "customer_unique_id",
-            "item_total_value", "is_late",
-        )
-        .join(orders.select("order_id", "review_score"), "order_id")
-        .join(
-            products.select(
-                "product_id",
-                rules.filled_category(F.col("product_category")).alias("product_category"),
-            ),
-            "product_id",
-        )
-        .join(
-            sellers.select("seller_id", "seller_state", F.col("brazil_region").alias("seller_region")),
-            "seller_id",
-        )
-        .join(
-            customers.select(
-                "customer_unique_id",
-                "customer_state",
-                F.col("brazil_region").alias("customer_region"),
-            ),
-            "customer_unique_id",
-        )
+    sold = fct.select(
+        "order_id", "product_id", "seller_id", "customer_unique_id", "item_total_value", "is_late"
     )
+    category = rules.filled_category(F.col("product_category")).alias("product_category")
+    origins = sellers.select(
+        "seller_id", "seller_state", F.col("brazil_region").alias("seller_region")
+    )
+    targets = customers.select(
+        "customer_unique_id", "customer_state", F.col("brazil_region").alias("customer_region")
+    )
+    described = (
+        large_join(sold, orders.select("order_id", "review_score"), "order_id")
+        .join(products.select("product_id", category), "product_id")
+        .join(origins, "seller_id")
+    )
+    lines = large_join(described, targets, "customer_unique_id")
     return lines.groupBy(*LANE_KEYS).agg(
         F.sum("item_total_value").cast(MONEY).alias("seller_category_revenue"),
         F.count("order_id").alias("total_category_orders"),

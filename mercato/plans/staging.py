@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from mercato.functions import rules
 from mercato.functions.dates import whole_days
-from mercato.functions.exact import MONEY, mean, money
+from mercato.functions.exact import MONEY, item_value, mean
 from mercato.functions.geography import region_of, state_name
+from mercato.operators.joins import large_join
 from mercato.operators.ranking import ordered_index
 
 
@@ -24,7 +25,7 @@ def dim_customers(
         F.min("order_purchase_timestamp").alias("first_order"),
         F.max("order_purchase_timestamp").alias("recent_order"),
     )
-    accounts = customers.join(spans, "customer_id", "left")
+    accounts = large_join(customers, spans, "customer_id", "left")
     if location == "latest":
         place = F.max_by(
             F.struct("customer_city", "customer_state"),
@@ -83,25 +84,23 @@ def dim_orders(
     orders: DataFrame, payments: DataFrame, reviews: DataFrame, items: DataFrame
 ) -> DataFrame:
     """One row per order; each side is reduced to that grain before its join."""
-    return (
-        orders.join(order_payments(payments), "order_id", "left")
-        .join(order_scores(reviews), "order_id", "left")
-        .join(order_baskets(items), "order_id", "left")
-        .select(
-            "order_id",
-            "customer_id",
-            "order_status",
-            "order_purchase_timestamp",
-            "order_approved_at",
-            "order_delivered_carrier_date",
-            "order_delivered_customer_date",
-            "order_estimated_delivery_date",
-            "total_order_payment_value",
-            "primary_payment_type",
-            "max_installments",
-            "review_score",
-            F.coalesce("basket_size", F.lit(0)).alias("basket_size"),
-        )
+    known = orders
+    for side in (order_payments(payments), order_scores(reviews), order_baskets(items)):
+        known = large_join(known, side, "order_id", "left")
+    return known.select(
+        "order_id",
+        "customer_id",
+        "order_status",
+        "order_purchase_timestamp",
+        "order_approved_at",
+        "order_delivered_carrier_date",
+        "order_delivered_customer_date",
+        "order_estimated_delivery_date",
+        "total_order_payment_value",
+        "primary_payment_type",
+        "max_installments",
+        "review_score",
+        F.coalesce("basket_size", F.lit(0)).alias("basket_size"),
     )
 
 
@@ -164,17 +163,19 @@ def fct_sales(
     else:
         raise ValueError(f"unknown key rule: {key}")
     # Orders meet customers first, so items are shuffled once only.
-    buyers = orders.select(
+    placed = orders.select(
         "order_id",
         "customer_id",
         "order_status",
         "order_purchase_timestamp",
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
-    ).join(customers.select("customer_id", "customer_unique_id"), "customer_id", "left")
+    )
+    accounts = customers.select("customer_id", "customer_unique_id")
+    buyers = large_join(placed, accounts, "customer_id", "left")
     purchased = F.col("order_purchase_timestamp")
     arrived = F.col("order_delivered_customer_date")
-    return items.join(buyers, "order_id", "left").select(
+    return large_join(items, buyers, "order_id", "left").select(
         *keys,
         "order_id",
         F.col("order_item_id").alias("item_sequence_number"),
@@ -183,7 +184,7 @@ def fct_sales(
         "seller_id",
         "price",
         "freight_value",
-        money(F.col("price") + F.col("freight_value")).alias("item_total_value"),
+        item_value(F.col("price") + F.col("freight_value")).alias("item_total_value"),
         rules.days_to_delivery(purchased, arrived).alias("days_to_delivery"),
         rules.late(arrived, F.col("order_estimated_delivery_date")).alias("is_late"),
         rules.delivered(F.col("order_status")).alias("is_delivered"),

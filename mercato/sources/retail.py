@@ -8,6 +8,7 @@ category names.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator, Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,38 +33,44 @@ def _cents(column: Column) -> Column:
 
 
 def _amount(cents: Column) -> Column:
-    return (cents * F.lit(Decimal("0.01"))).cast("decimal(12,2)")
+    return (cents.cast("decimal(15,0)") * F.lit(Decimal("0.01"))).cast("decimal(12,2)")
+
+
+def _after(moment: Column, days: Column | int = 0, seconds: Column | int = 0) -> Column:
+    return moment + F.make_dt_interval(
+        days=F.lit(days).cast("int"), secs=F.lit(seconds).cast("decimal(18,6)")
+    )
 
 
 def raw_orders(orders: DataFrame) -> DataFrame:
     """Some October orders move to November and some February ones to March."""
-    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
-    month = F.month(day)
+    key, month = F.col("o_orderkey"), F.month("o_orderdate")
     shift = (
         F.when((month == 10) & (key % 5 < 3), 31).when((month == 2) & (key % 5 < 2), 28)
     ).otherwise(0)
-
-    def after(moment: Column, days: Column | int = 0, seconds: Column | int = 0) -> Column:
-        return moment + F.make_dt_interval(
-            days=F.lit(days).cast("int"), secs=F.lit(seconds).cast("decimal(18,6)")
-        )
-
-    placed = after(day, shift, key % 86_400)
     status = (
         F.when(key % 50 == 7, "canceled").when(key % 50 == 8, "shipped").otherwise("delivered")
     )
-    arrived = after(placed, 3 + (key * 7) % 23)
-    return orders.select(
-        key.alias("order_id"),
-        key.alias("customer_id"),
-        status.alias("order_status"),
-        placed.alias("order_purchase_timestamp"),
-        after(placed, seconds=3600).alias("order_approved_at"),
-        F.when(status != "canceled", after(placed, 1)).alias("order_delivered_carrier_date"),
-        F.when((status == "delivered") & (key % 1000 != 1), arrived).alias(
-            "order_delivered_customer_date"
-        ),
-        after(day, shift + 20).alias("order_estimated_delivery_date"),
+    placed, fate = F.col("_placed"), F.col("_status")
+    return (
+        orders.select(
+            "o_orderkey",
+            status.alias("_status"),
+            _after(F.col("o_orderdate").cast("timestamp_ntz"), shift).alias("_day"),
+        )
+        .withColumn("_placed", _after(F.col("_day"), seconds=key % 86_400))
+        .select(
+            key.alias("order_id"),
+            key.alias("customer_id"),
+            fate.alias("order_status"),
+            placed.alias("order_purchase_timestamp"),
+            _after(placed, seconds=3600).alias("order_approved_at"),
+            F.when(fate != "canceled", _after(placed, 1)).alias("order_delivered_carrier_date"),
+            F.when(
+                (fate == "delivered") & (key % 1000 != 1), _after(placed, 3 + (key * 7) % 23)
+            ).alias("order_delivered_customer_date"),
+            _after(F.col("_day"), 20).alias("order_estimated_delivery_date"),
+        )
     )
 
 
@@ -151,34 +158,51 @@ def raw_sellers(supplier: DataFrame) -> DataFrame:
 
 
 def raw_items(lineitem: DataFrame) -> DataFrame:
-    cents = _cents(F.col("l_extendedprice"))
-    freight_share = _cents(F.col("l_tax")) * 8 + 2
-    freight = (cents * freight_share - (cents * freight_share) % 100).cast("bigint")
-    price = F.when(F.col("l_partkey") % 997 == 0, F.lit(0)).otherwise(cents)
-    return lineitem.select(
+    """Freight is a whole number of cents: a share of the price by tax class."""
+    share = _cents(F.col("l_tax")) * 8 + 2
+    price = F.when(F.col("l_partkey") % 997 == 0, F.lit(0)).otherwise(F.col("_cents"))
+    return lineitem.withColumn("_cents", _cents(F.col("l_extendedprice"))).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         _amount(price).alias("price"),
-        (freight * F.lit(Decimal("0.0001"))).cast("decimal(12,2)").alias("freight_value"),
+        _amount(F.floor(F.col("_cents") * share / 100)).alias("freight_value"),
     )
 
 
-def raw_from_retail(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The eight raw tables over the Parquet files in ``folder``."""
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+class RetailTables(Mapping):
+    """The eight raw tables over the Parquet files in a folder, each on demand."""
 
-    orders, part = table("orders"), table("part")
-    return {
-        "orders": raw_orders(orders),
-        "customers": raw_customers(orders),
-        "items": raw_items(table("lineitem")),
-        "payments": raw_payments(orders),
-        "reviews": raw_reviews(orders),
-        "products": raw_products(part),
-        "translation": raw_translation(part),
-        "sellers": raw_sellers(table("supplier")),
+    # Raw table, its source file, its derivation.
+    DERIVATIONS = {
+        "orders": ("orders", raw_orders),
+        "customers": ("orders", raw_customers),
+        "items": ("lineitem", raw_items),
+        "payments": ("orders", raw_payments),
+        "reviews": ("orders", raw_reviews),
+        "products": ("part", raw_products),
+        "translation": ("part", raw_translation),
+        "sellers": ("supplier", raw_sellers),
     }
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._sources: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            source, derive = self.DERIVATIONS[name]
+            if source not in self._sources:
+                self._sources[source] = self._spark.read.parquet(
+                    f"{self._folder}/{source}.parquet"
+                )
+            self._tables[name] = derive(self._sources[source])
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.DERIVATIONS)
+
+    def __len__(self) -> int:
+        return len(self.DERIVATIONS)
