@@ -51,13 +51,18 @@ def ordered_index(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+# Steps per unit of the natural logarithm: a step spans a tenth of a percent.
+STEPS = 1024
+
+
 def magnitude(value: Column) -> Column:
-    """A step that never falls as ``value`` grows, about 1.6 % wide.
+    """A whole number that never falls as ``value`` grows.
 
-    All values a double can hold fall into fewer than 100,000 steps.
+    Amounts up to 10**15 fall into fewer than 36,000 steps on either side of
+    zero, and a step holds at most ``value / 10`` different amounts in cents.
     """
     number = value.cast("double")
-    return F.floor(F.signum(number) * F.log1p(F.abs(number)) * 64)
+    return F.floor(F.signum(number) * F.log1p(F.abs(number)) * STEPS)
 
 
 def percent_rank_desc(df: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -27,31 +27,41 @@ def seller_lanes(
     customers: DataFrame,
     orders: DataFrame,
 ) -> DataFrame:
-    """Items per category, seller and customer state; unmatched items drop out."""
-    # The order join comes first: a fact built from orders is already
-    # partitioned by order. Customers are looked up by a second shuffle.
+    """Items per category, seller and customer state; unmatched items drop out.
+
+    The order join comes first, as a fact built from orders is already
+    partitioned by order. Sellers have one row each, so they are looked up
+    after the items have been added up per seller.
+    """
     sold = fct.select(
         "order_id", "product_id", "seller_id", "customer_unique_id", "item_total_value", "is_late"
     )
-    category = rules.filled_category(F.col("product_category")).alias("product_category")
-    origins = sellers.select(
-        "seller_id", "seller_state", F.col("brazil_region").alias("seller_region")
-    )
     targets = customers.select(
         "customer_unique_id", "customer_state", F.col("brazil_region").alias("customer_region")
     )
-    described = (
-        large_join(sold, orders.select("order_id", "review_score"), "order_id")
-        .join(products.select("product_id", category), "product_id")
-        .join(origins, "seller_id")
+    category = rules.filled_category(F.col("product_category")).alias("product_category")
+    scored = large_join(sold, orders.select("order_id", "review_score"), "order_id")
+    lines = large_join(scored, targets, "customer_unique_id").join(
+        products.select("product_id", category), "product_id"
     )
-    lines = large_join(described, targets, "customer_unique_id")
-    return lines.groupBy(*LANE_KEYS).agg(
+    lanes = lines.groupBy(
+        "product_category", "seller_id", "customer_state", "customer_region"
+    ).agg(
         F.sum("item_total_value").cast(MONEY).alias("seller_category_revenue"),
         F.count("order_id").alias("total_category_orders"),
         mean(F.nullif(F.col("review_score"), F.lit(-1))).alias("avg_lane_review"),
         F.sum("is_late").alias("total_late_orders"),
     )
+    origins = sellers.select(
+        "seller_id", "seller_state", F.col("brazil_region").alias("seller_region")
+    )
+    return lanes.join(origins, "seller_id").select(
+        *LANE_KEYS,
+        "seller_category_revenue",
+        "total_category_orders",
+        "avg_lane_review",
+        "total_late_orders",
+    )
 
 
 def strategic_risk_map(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.functions.rules import DEFAULTS, Cutoffs
+from mercato.operators.durable import written
 from mercato.plans import customers, executive, growth, logistics, products, risk, staging
 from mercato.sources.tables import publish, write_dimension, write_fact
 
@@ -50,10 +52,8 @@ class Warehouse:
 
     @classmethod
     def from_staged(cls, spark: SparkSession, folder: str, **options) -> "Warehouse":
-        self = cls(**options)
-        for name in (*DIMENSIONS, "fct_sales"):
-            setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
-        self.fct_plain = self.fct_sales
+        self = StagedWarehouse(**options)
+        self._spark, self._folder = spark, folder
         return self
 
     # Staging
@@ -88,11 +88,20 @@ class Warehouse:
         return self._fact(None)
 
     def stage(self, folder: str) -> None:
-        """Write the five staging tables below ``folder``."""
-        for name in DIMENSIONS:
-            write_dimension(getattr(self, name), f"{folder}/{name}")
+        """Write the five staging tables below ``folder``, side by side."""
+        with ThreadPoolExecutor(len(DIMENSIONS) + 1) as pool:
+            jobs = [pool.submit(self._stage_fact, folder)] + [
+                pool.submit(self._stage_dimension, name, folder) for name in DIMENSIONS
+            ]
+        for job in jobs:
+            job.result()
+
+    def _stage_fact(self, folder: str) -> None:
         write_fact(self.fct_sales, f"{folder}/fct_sales")
 
+    def _stage_dimension(self, name: str, folder: str) -> None:
+        write_dimension(getattr(self, name), f"{folder}/{name}")
+
     # Marts
 
     @cached_property
@@ -123,7 +132,9 @@ class Warehouse:
 
     @cached_property
     def winback_segmentation(self) -> DataFrame:
-        return customers.winback_segmentation(self.customer_journey, self.cut)
+        # Written once: the mean of all journeys is needed before any is chosen.
+        journey = written(self.customer_journey, "journey")
+        return customers.winback_segmentation(journey, self.cut)
 
     @cached_property
     def product_quality_matrix(self) -> DataFrame:
@@ -163,3 +174,25 @@ class Warehouse:
         """Register the staging tables and marts as temporary views."""
         names = (*DIMENSIONS, "fct_sales", *self.MARTS)
         return publish({name: getattr(self, name) for name in names}, prefix)
+
+
+def _staged(name: str) -> cached_property:
+    def read(self: "StagedWarehouse") -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}")
+
+    return cached_property(read)
+
+
+class StagedWarehouse(Warehouse):
+    """A warehouse over the written staging tables."""
+
+    dim_customers = _staged("dim_customers")
+    dim_orders = _staged("dim_orders")
+    dim_products = _staged("dim_products")
+    dim_sellers = _staged("dim_sellers")
+    fct_sales = _staged("fct_sales")
+
+    @property
+    def fct_plain(self) -> DataFrame:
+        return self.fct_sales
+
