@@ -22,7 +22,7 @@ class RetailWarehouse(Warehouse):
 
 
 def open_warehouse(spark: SparkSession, folder: str, **options) -> RetailWarehouse:
-    raw = RetailTables(tune(spark), folder)
+    raw = RetailTables(tune(spark, folder), folder)
     warehouse = RetailWarehouse.from_raw(raw, start=RANGE_START, end=RANGE_END, **options)
     warehouse.raw, warehouse.spark = raw, spark
     return warehouse

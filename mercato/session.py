@@ -16,10 +16,34 @@ ADAPTIVE = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings to a running session."""
+# One shuffle partition per 256 MB of stored input, before AQE coalesces. Beyond
+# the limit the driver's table of map outputs costs more than larger
+# partitions, which spill.
+BYTES_PER_PARTITION = 256 * 1024 * 1024
+MOST_PARTITIONS = 40_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(path).getLength()
+
+
+def tune(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Apply the adaptive settings to a running session.
+
+    With a ``folder`` of input tables the number of shuffle partitions is
+    raised to suit its size. It is never lowered: AQE does that by itself, but
+    it cannot add partitions that a large input needs.
+    """
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    if folder:
+        needed = min(stored_bytes(spark, folder) // BYTES_PER_PARTITION, MOST_PARTITIONS)
+        current = spark.conf.get(INITIAL_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions"))
+        if needed > int(current):
+            spark.conf.set(INITIAL_PARTITIONS, str(needed))
     return spark
 
 

@@ -130,3 +130,19 @@ def test_invariants_of_the_retail_star(spark, sf_dir):
 
 def test_staging_folder_is_new_each_time(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_shuffle_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
+    from mercato import session
+
+    before = spark.conf.get(session.INITIAL_PARTITIONS, None)
+    assert session.stored_bytes(spark, sf_dir) > 100_000
+    session.tune(spark, sf_dir)
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) == before
+    monkeypatch.setattr(session, "stored_bytes", lambda *_: 10**12)
+    session.tune(spark, sf_dir)
+    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 3_725
+    monkeypatch.setattr(session, "stored_bytes", lambda *_: 100 * 10**12)
+    session.tune(spark, sf_dir)
+    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 40_000
+    spark.conf.unset(session.INITIAL_PARTITIONS)
