@@ -12,7 +12,7 @@ from mercato.catalog.registry import RetailWarehouse as W
 from mercato.catalog.registry import add
 from mercato.functions.rules import Cutoffs
 from mercato.operators.durable import new_path
-from mercato.plans import customers, executive, growth, products, staging
+from mercato.plans import executive, growth, staging
 from mercato.plans.warehouse import Warehouse
 from mercato.sources.retail import RANGE_END, RANGE_START
 from mercato.sources.schemas import RAW_SCHEMAS
@@ -168,10 +168,7 @@ add(
 
 
 def _journey_with_window(w: W, days: int):
-    journey = customers.customer_journey(
-        w.fct_plain, w.dim_customers, w.dim_orders, Cutoffs(return_days=days)
-    )
-    return journey.select(
+    return w.journey(Cutoffs(return_days=days)).select(
         "customer_unique_id", F.col("is_returned_90d").alias(f"is_returned_{days}d")
     )
 
@@ -190,9 +187,9 @@ _CLOSE_CUTOFFS = Cutoffs(loved_score=Decimal("3.4"), disliked_score=Decimal("3.3
 add(
     "product_quality_matrix_close_cutoffs",
     "P11 R14",
-    lambda w: products.product_quality_matrix(
-        w.fct_plain, w.dim_products, w.dim_orders, cut=_CLOSE_CUTOFFS
-    ).select("product_category", "matrix_position"),
+    lambda w: w.quality_matrix(cut=_CLOSE_CUTOFFS).select(
+        "product_category", "matrix_position"
+    ),
     query(
         f"""SELECT product_category,
                {quadrant("total_revenue", "mean_revenue", "mean_score", "3.4", "3.3")}
@@ -203,9 +200,9 @@ add(
 add(
     "product_quality_matrix_review_guard",
     "O03 R24",
-    lambda w: products.product_quality_matrix(
-        w.fct_plain, w.dim_products, w.dim_orders, minimum_reviews=900
-    ).select("product_category", "toxicity_ratio_pct"),
+    lambda w: w.quality_matrix(minimum_reviews=900).select(
+        "product_category", "toxicity_ratio_pct"
+    ),
     query(
         f"""SELECT product_category,
                CASE WHEN total_reviews >= 900

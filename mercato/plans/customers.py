@@ -58,9 +58,9 @@ def customer_journey(
     last_day = figure(fct, F.max("purchase_date"))
     first_day = F.col("first_order").cast("date")
     recent_day = F.col("recent_order").cast("date")
-    recency = F.datediff(last_day, recent_day)
     buyers = large_join(customers, customer_stats(fct), "customer_unique_id")
-    return large_join(buyers, touches, "customer_unique_id", "left").select(
+    known = large_join(buyers, touches, "customer_unique_id", "left")
+    return known.withColumn("recency_days", F.datediff(last_day, recent_day)).select(
         "customer_unique_id",
         "customer_city",
         "customer_state",
@@ -75,8 +75,8 @@ def customer_journey(
         "total_lifetime_revenue",
         (F.col("customer_lifespan_days") + 1).alias("customer_lifespan_days"),
         "is_repeat_buyer",
-        recency.alias("recency_days"),
-        rules.churned(recency, cut).alias("is_churned"),
+        "recency_days",
+        rules.churned(F.col("recency_days"), cut).alias("is_churned"),
     )
 
 

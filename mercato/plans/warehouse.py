@@ -87,6 +87,14 @@ class Warehouse:
     def fct_plain(self) -> DataFrame:
         return self._fact(None)
 
+    def _reread(self, fct: DataFrame, *columns: str) -> DataFrame:
+        """The fact for a mart that reads it several times.
+
+        Joining it anew for every read would shuffle all items again, so the
+        columns the mart needs are written once.
+        """
+        return written(fct.select(*columns), "fact")
+
     def stage(self, folder: str) -> None:
         """Write the five staging tables below ``folder``, side by side."""
         with ThreadPoolExecutor(len(DIMENSIONS) + 1) as pool:
@@ -126,9 +134,19 @@ class Warehouse:
 
     @cached_property
     def customer_journey(self) -> DataFrame:
-        return customers.customer_journey(
-            self.fct_plain, self.dim_customers, self.dim_orders, self.cut
+        return self.journey(self.cut)
+
+    def journey(self, cut: Cutoffs) -> DataFrame:
+        """The customer journey with other return or churn windows."""
+        fct = self._reread(
+            self.fct_plain,
+            "customer_unique_id",
+            "order_id",
+            "item_sequence_number",
+            "purchase_date",
+            "item_total_value",
         )
+        return customers.customer_journey(fct, self.dim_customers, self.dim_orders, cut)
 
     @cached_property
     def winback_segmentation(self) -> DataFrame:
@@ -138,15 +156,23 @@ class Warehouse:
 
     @cached_property
     def product_quality_matrix(self) -> DataFrame:
+        return self.quality_matrix(cut=self.cut)
+
+    def quality_matrix(self, minimum_reviews: int = 0, cut: Cutoffs = DEFAULTS) -> DataFrame:
+        """The category matrix with other cut-offs or a guard on few reviews."""
+        fct = self._reread(
+            self.fct_plain, "order_id", "product_id", "purchase_date", "item_total_value"
+        )
         return products.product_quality_matrix(
-            self.fct_plain, self.dim_products, self.dim_orders, cut=self.cut
+            fct, self.dim_products, self.dim_orders, minimum_reviews, cut
         )
 
     @cached_property
     def unit_economics(self) -> DataFrame:
-        return logistics.unit_economics(
-            self.fct_sales, self.dim_orders, self.dim_sellers, self.cut
+        fct = self._reread(
+            self.fct_sales, "sales_key", "order_id", "seller_id", "price", "freight_value"
         )
+        return logistics.unit_economics(fct, self.dim_orders, self.dim_sellers, self.cut)
 
     @cached_property
     def strategic_risk_map(self) -> DataFrame:
@@ -196,3 +222,6 @@ class StagedWarehouse(Warehouse):
     def fct_plain(self) -> DataFrame:
         return self.fct_sales
 
+    def _reread(self, fct: DataFrame, *columns: str) -> DataFrame:
+        return fct
+
