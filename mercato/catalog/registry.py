@@ -60,10 +60,8 @@ def plain_types(df: DataFrame) -> DataFrame:
             if field.dataType.scale > 6:
                 column = F.round(column, 6)
             column = column.cast("double")
-        elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(field.dataType, (T.DateType, T.TimestampNTZType)):
+            column = column.cast("string")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, readable by every executor.
+    """The session's checkpoint folder, which every executor can read.
 
-    A local session without that setting uses a temporary folder; a cluster
-    without it is an error, since executors share no local disk.
+    It is named by ``spark.checkpoint.dir`` or set on the context. A local
+    session without one uses a temporary folder; a cluster without one is an
+    error, since executors share no local disk.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = os.path.join(tempfile.gettempdir(), "mercato-tables")
     os.makedirs(folder, exist_ok=True)

@@ -120,7 +120,9 @@ def test_a_cluster_without_a_shared_folder_is_refused():
             return self.folder or default
 
     class Cluster:
-        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        sparkContext = type(
+            "Context", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None}
+        )()
 
         def __init__(self, folder=None):
             self.conf = Conf(folder)
