@@ -257,7 +257,11 @@ add(
 add(
     "rule_pareto_segment", "R13",
     lambda w: labels(w.product_quality_matrix, F.col("revenue_segment"), "revenue_segment"),
-    label_sql("category_shares", "if(share <= 0.8, 'Pareto Driver (Top 80%)', 'Long Tail')", "revenue_segment"),
+    label_sql(
+        "category_shares",
+        "if(share <= 0.8, 'Pareto Driver (Top 80%)', 'Long Tail')",
+        "revenue_segment",
+    ),
 )
 add(
     "rule_quadrant", "R14",

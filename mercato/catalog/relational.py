@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mercato.catalog.oracle import cents, half_up, in_range, query, rounded, table
 from mercato.catalog.registry import RetailWarehouse as W
 from mercato.catalog.registry import add
-from mercato.functions.dates import month_of
 from mercato.functions.exact import MONEY, money, money_mean, money_mean_over, ratio
 from mercato.operators.ranking import first_rows, ordered_index, percent_rank_desc
 from mercato.operators.statistics import figure, with_label_sums

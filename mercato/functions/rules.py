@@ -1,4 +1,7 @@
-"""Business rules as column functions over parameterised cut-offs."""
+"""Business rules as column functions over parameterised cut-offs.
+
+The labels and the default cut-offs are fixed values: reports depend on them.
+"""
 
 from __future__ import annotations
 

@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 import market
 from mercato.plans import customers, executive, growth, logistics, products, risk, staging
@@ -101,7 +102,10 @@ def test_monthly_growth(warehouse):
 
 def test_baselines_and_missing_months(spark, warehouse):
     frame = spark.createDataFrame(
-        [(dt.date(2017, m, 1), D(v)) for m, v in ((1, "10.00"), (2, "20.00"), (6, "30.00"), (7, "40.00"))],
+        [
+            (dt.date(2017, month, 1), D(value))
+            for month, value in ((1, "10.00"), (2, "20.00"), (6, "30.00"), (7, "40.00"))
+        ],
         "sales_month date, current_month_revenue decimal(22,2)",
     )
     rolling = {r.sales_month.month: r.seasonality_index for r in growth.seasonality(frame).collect()}
@@ -161,8 +165,6 @@ def test_winback(spark):
         "customer_unique_id string, is_churned int, first_order_review_score decimal(6,2),"
         " total_lifetime_revenue decimal(22,2), is_repeat_buyer int",
     )
-    from pyspark.sql import functions as F
-
     for name in ("customer_city", "customer_state", "first_order_date", "recent_order_date"):
         frame = frame.withColumn(name, F.lit("x"))
     frame = frame.withColumns({"recency_days": F.lit(200), "total_lifetime_orders": F.lit(1)})
@@ -174,8 +176,6 @@ def test_winback(spark):
 
 def test_winback_needs_more_than_the_mean(spark):
     frame = spark.createDataFrame([(D("5.00"),), (D("5.00"),)], "total_lifetime_revenue decimal(22,2)")
-    from pyspark.sql import functions as F
-
     names = "customer_unique_id customer_city customer_state first_order_date recent_order_date"
     frame = frame.withColumns(
         {
@@ -213,7 +213,11 @@ def test_matrix_drops_missing_category_after_the_mean(warehouse):
 def test_equal_revenue_shares_the_running_total(spark):
     raw = market.raw(
         spark,
-        items=[market.item("o1", 1, "p1"), market.item("o3", 1, "p4"), market.item("o4", 1, "p2", price="20.00", freight="0.00")],
+        items=[
+            market.item("o1", 1, "p1"),
+            market.item("o3", 1, "p4"),
+            market.item("o4", 1, "p2", price="20.00", freight="0.00"),
+        ],
     )
     rows = by(Warehouse.from_raw(raw).product_quality_matrix, "product_category")
     # 110 + 110 of 240 at once: both are at 91.7 %.
