@@ -8,12 +8,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, language_id, ngram_join, pii, sentencepiece_codec
-from mercato.llm.common import read_table
+from mercato.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    ngram_join,
+    pii,
+    quality_rules,
+    sentencepiece_codec,
+    token_rollup,
+    toxicity,
+    url_filter,
+)
+from mercato.llm.common import read_table, remainder
+from mercato.operators.durable import new_path
 
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
 #: Stands for the key a deployment keeps to itself.
 SURROGATE_KEY = b"surrogates of the test tables"
+TOXICITY_FOLDS, TOXICITY_HELD_OUT = 4, 2
+URL_RULES = [
+    url_filter.UrlRule("allow", "com/"),
+    url_filter.UrlRule("block", "example.com/en/"),
+    url_filter.UrlRule("allow", "www.example.com/en/"),
+    url_filter.UrlRule("block", "net/es/"),
+    url_filter.UrlRule("block", "net/fr/"),
+]
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +59,42 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load every document, deliver the load twice, delete later exact copies, revise repeated lines.
+
+    A copy is a document whose text another one with a lower id has. A document
+    with repeated lines is counted anew without the repeats.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
+    ranks, pattern = str(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN
+    keep = ("doc_id", "source", "lang")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return token_rollup.count_tokens(rows, ranks, pattern, keep)
+
+    load = token_rollup.change(token_rollup.INSERT, counted(docs), TOKENIZER, F.col("tokens"))
+    rollup.apply("load", load)
+    rollup.apply("load", load)
+    digest = docs.select(*keep, F.sha2("text", 256).alias("digest")).where("digest IS NOT NULL")
+    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = digest.join(first, "digest").where("doc_id <> first")
+    rollup.apply("copies", token_rollup.change(token_rollup.DELETE, copies, TOKENIZER))
+    lines = F.split("text", "\n")
+    shorter = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn(
+        "text", F.array_join(F.array_distinct(lines), "\n")
+    )
+    gone = copies.select(F.col("doc_id").alias("gone"))
+    revised = counted(shorter).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    rollup.apply("lines", token_rollup.change(token_rollup.REVISE, revised, TOKENIZER, F.col("tokens")))
+    return rollup.totals()
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", LANGUAGE_FOLDS, LANGUAGE_HELD_OUT)
@@ -45,12 +110,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", TOXICITY_FOLDS)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), keep=fold != TOXICITY_HELD_OUT)
+    held = (remainder("doc_id", TOXICITY_FOLDS) == TOXICITY_HELD_OUT).alias("held_out")
+    return toxicity.score_documents(docs, model).select("doc_id", held, "score", "predicted")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_url_filter": op2_url_filter,
     "op3_ngram_join": op3_ngram_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_token_rollup": op7_token_rollup,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 LLM_SQL: dict[str, str] = {}
