@@ -18,7 +18,10 @@ Only the sample and the model pass the driver; every text is scored whole, in ta
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,15 +32,20 @@ from mercato.llm.common import arrow_map, only
 
 #: Labelled rows the model is fitted on at most, in the mean (a share of the rows by hash).
 TRAIN_ROWS = 12_000
-SLOT_BITS = 20
+SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 #: Word beginnings of these lengths are terms too.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6)
+KINDS = len(BEGINNINGS) + 1
+#: A term seen this often in a text is a feature of its own.
+LEVELS = (1, 2, 4)
+#: Slots are numbered by term, kind (8 places) and level (4 places).
+STEP = 32
 #: Terms the classifier may use.
 CLASSIFIER_TERMS = 4_096
-#: Lexicon voters of each kind of term hold its strongest terms: so many the first, and so on.
-SHARES = (8, 16, 32, 64)
-VOTERS_A_KIND = len(SHARES)
+#: Lexicon voters of each kind and level hold its strongest terms: so many the first, and so on.
+SHARES = (16, 64)
+VOTERS = KINDS * len(LEVELS) * len(SHARES)
 #: Voters whose votes agree less than this beyond the classes count as independent.
 LEAST_CORRELATION = 0.1
 CACHED_WORDS = 300_000
@@ -50,31 +58,19 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def terms_of(word: bytes) -> tuple[int, ...]:
-    """Slots of the word itself and of its beginnings; the lowest two bits tell which kind."""
+    """Slots, at the lowest level, of the word itself and of its beginnings."""
     letters = word.decode("utf-8", "replace")
-    found = [(zlib.crc32(word) & (SLOTS // 4 - 1)) * 4]
-    for kind, length in enumerate(BEGINNINGS, 1):
-        if len(letters) > length:
-            found.append((zlib.crc32(letters[:length].encode()) & (SLOTS // 4 - 1)) * 4 + kind)
-    return tuple(found)
+    terms = [word] + [letters[:length].encode() for length in BEGINNINGS if len(letters) > length]
+    return tuple(zlib.crc32(term) % (SLOTS // STEP) * STEP + kind * 4 for kind, term in enumerate(terms))
 
 
-class Terms:
-    """Distinct slots of texts, through a bounded store by word."""
-
-    def __init__(self) -> None:
-        self.store: dict[bytes, tuple[int, ...]] = {}
-
-    def slots(self, words: set[bytes]) -> set[int]:
-        out: set[int] = set()
-        for word in words:
-            found = self.store.get(word)
-            if found is None:
-                if len(self.store) >= CACHED_WORDS:
-                    self.store = {}
-                found = self.store[word] = terms_of(word)
-            out.update(found)
-        return out
+def slots_of(words: Iterable[tuple[bytes, int]], known: Callable[[bytes], tuple[int, ...]]) -> set[int]:
+    """Slots of a text's terms at all levels that they reach, from words and how often each stands."""
+    seen: dict[int, int] = {}
+    for word, times in words:
+        for slot in known(word):
+            seen[slot] = seen.get(slot, 0) + times
+    return {slot + level for slot, times in seen.items() for level, least in enumerate(LEVELS) if times >= least}
 
 
 def shapes_of(text: str | None, words: list[bytes]) -> tuple[float, float]:
@@ -106,7 +102,7 @@ def sample(docs: DataFrame, labels: DataFrame, keep, key: str, text: str, label:
     )
 
     def start():
-        terms = Terms()
+        known = lru_cache(CACHED_WORDS)(terms_of)
 
         def work(batch):
             texts = batch.column(1).to_pylist()
@@ -114,7 +110,7 @@ def sample(docs: DataFrame, labels: DataFrame, keep, key: str, text: str, label:
             shapes = [shapes_of(t, w) for t, w in zip(texts, words, strict=True)]
             return {
                 "toxic": [int(v) for v in batch.column(0).to_pylist()],
-                "slots": [sorted(terms.slots(set(w))) for w in words],
+                "slots": [sorted(slots_of(Counter(w).items(), known)) for w in words],
                 "capitals": [s[0] for s in shapes],
                 "repeats": [s[1] for s in shapes],
                 "row": batch.column(2),
@@ -185,18 +181,12 @@ class ToxicityModel:
     def scorer(self):
         """A function from a text to its score, with a bounded store of words."""
         by_slot = dict(zip(self.slots.tolist(), self.weights.tolist(), strict=True))
-        store: dict[bytes, tuple[int, ...]] = {}
+        bases = {slot - slot % 4 for slot in by_slot}
+        known = lru_cache(CACHED_WORDS)(lambda word: tuple(s for s in terms_of(word) if s in bases))
 
         def score(text: str | None) -> float:
-            used: set[int] = set()
-            for word in set(words_of(text)):
-                found = store.get(word)
-                if found is None:
-                    if len(store) >= CACHED_WORDS:
-                        store.clear()
-                    found = store[word] = tuple(s for s in terms_of(word) if s in by_slot)
-                if found:
-                    used.update(found)
+            counted = ((word, n) for word, n in Counter(words_of(text)).items() if known(word))
+            used = [slot for slot in slots_of(counted, known) if slot in by_slot]
             raw = self.bias + sum(by_slot[s] for s in sorted(used))
             return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30))))
 
@@ -213,26 +203,23 @@ class Lexicon:
         surprise = (positive - expected) / np.sqrt(expected + 1)
         strong = np.flatnonzero((positive >= 3) & (gain > 1.5) & (surprise > 4))
         strong = strong[np.argsort(-surprise[strong], kind="stable")]
-        kinds = len(BEGINNINGS) + 1
         self.voter_of: dict[int, int] = {}
-        for kind in range(kinds):
-            own = strong[strong % 4 == kind][: sum(SHARES)]
-            places = np.repeat(np.arange(VOTERS_A_KIND), SHARES)
-            self.voter_of.update({int(s): int(kind * VOTERS_A_KIND + v) for s, v in zip(own, places, strict=False)})
-        self.terms = np.array(sorted(self.voter_of), int)
-        self.voters = kinds * VOTERS_A_KIND
+        shares = np.repeat(np.arange(len(SHARES)), SHARES)
+        for kind in range(KINDS):
+            for level in range(len(LEVELS)):
+                own = strong[(strong % STEP // 4 == kind) & (strong % 4 == level)][: sum(SHARES)]
+                first = (kind * len(LEVELS) + level) * len(SHARES)
+                self.voter_of.update({int(s): int(first + v) for s, v in zip(own, shares, strict=False)})
 
     def ballot(self, slots: list[np.ndarray], capitals: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        votes = np.zeros((len(slots), self.voters + 5), np.int8)
+        votes = np.zeros((len(slots), VOTERS + 4), np.int8)
         for row, found in enumerate(slots):
             held = [self.voter_of[s] for s in found.tolist() if s in self.voter_of]
             votes[row, held] = 1
-            words = sum(v < VOTERS_A_KIND for v in held)
-            votes[row, self.voters] = 1 if len(held) >= 3 else 0
-            votes[row, self.voters + 1] = 1 if words >= 1 else 0
-            votes[row, self.voters + 2] = -1 if not held else 0
-            votes[row, self.voters + 3] = -1 if capitals[row] > 0.5 and not held else 0
-            votes[row, self.voters + 4] = -1 if repeats[row] > 0.6 and not held else 0
+            votes[row, VOTERS] = 1 if len(held) >= 6 else 0
+            votes[row, VOTERS + 1] = 0 if held else -1
+            votes[row, VOTERS + 2] = -1 if capitals[row] > 0.5 and not held else 0
+            votes[row, VOTERS + 3] = -1 if repeats[row] > 0.6 and not held else 0
         return votes
 
 
@@ -296,7 +283,7 @@ def fit(
     column[used] = np.arange(len(used))
     inside = column[flat] >= 0
     x_rows, x_columns = owner[inside], column[flat[inside]]
-    weights, bias = _logistic(x_rows, x_columns, soft, len(used), 1e-3)
+    weights, bias = _logistic(x_rows, x_columns, soft, len(used), 1e-4)
     raw = bias + np.bincount(x_rows, weights[x_columns], minlength=len(truth))
     slope, shift = _scale(raw, truth)
     return ToxicityModel(used, weights, float(bias), slope, shift)
@@ -308,11 +295,12 @@ def _scale(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     for _ in range(200):
         chance = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30)))
         off, curve = chance - truth, chance * (1 - chance) + 1e-6
-        gradient = np.array([(off * raw).mean() + 1e-3 * (slope - 1), off.mean()])
+        # Rows that the sums part without error would drive the slope up for ever; the penalty holds it.
+        gradient = np.array([(off * raw).mean() + 0.01 * (slope - 1), off.mean() + 0.01 * shift])
         hessian = np.array(
-            [[(curve * raw * raw).mean() + 1e-3, (curve * raw).mean()], [(curve * raw).mean(), curve.mean() + 1e-6]]
+            [[(curve * raw * raw).mean() + 0.01, (curve * raw).mean()], [(curve * raw).mean(), curve.mean() + 0.01]]
         )
-        step = np.linalg.solve(hessian, gradient)
+        step = np.clip(np.linalg.solve(hessian, gradient), -0.5, 0.5)
         slope, shift = slope - step[0], shift - step[1]
         if np.abs(step).max() < 1e-8:
             break
