@@ -16,6 +16,7 @@ from mercato.llm import (
     pii,
     quality_rules,
     sentencepiece_codec,
+    sql,
     token_rollup,
     toxicity,
     url_filter,
@@ -105,9 +106,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_contamination(
+    found = decontamination.find_contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     )
+    return found.drop("spans")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +133,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {
+    "op3_ngram_join": sql.NGRAM_JOIN,
+    "op6_quality_rules": sql.QUALITY_RULES,
+    "op9_decontamination": sql.DECONTAMINATION,
+}
