@@ -25,7 +25,7 @@ from mercato.llm.labelled_pages import labelled_pages
 FEATURE_BITS = 13
 FEATURES = 1 << FEATURE_BITS
 #: Labelled pages the query's model is trained on.
-TRAIN_PAGES = 500
+TRAIN_PAGES = 800
 MARKS = (".", "?", ";", "。")
 
 
@@ -91,7 +91,7 @@ class BlockModel:
         return "\n\n".join(text for text in chosen if text)
 
 
-def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 150, penalty: float = 2e-4) -> BlockModel:
+def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 200, penalty: float = 1e-4) -> BlockModel:
     """Maximum likelihood over pages given as features and labels of their blocks."""
     pages = [page for page in pages if page[1]]
     weights, steps = np.zeros((FEATURES, 2)), np.zeros((2, 2))

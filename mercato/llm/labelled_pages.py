@@ -103,10 +103,10 @@ class _Writer:
         def fill() -> None:
             if pick.random() < 0.7:
                 self.block(pick.choice(["h1", "h1", "h2"]), self.text(2, 10), 1)
-            for _ in range(pick.randint(1, 12)):
+            for _ in range(pick.choice([1, 2, pick.randint(1, 12), pick.randint(3, 12), pick.randint(3, 12)])):
                 kind = pick.random()
                 if kind < 0.72:
-                    self.block("p", self.text(*pick.choice([(1, 4), (5, 60), (20, 90)])), 1)
+                    self.block("p", self.text(*pick.choice([(1, 4), (5, 60), (20, 90), (5, 60), (20, 90), (150, 700)])), 1)
                 elif kind < 0.8:
                     self.block(pick.choice(["h2", "h3"]), self.text(1, 6), 1)
                 elif kind < 0.86:
@@ -117,8 +117,8 @@ class _Writer:
                     self.block(pick.choice(["pre", "figcaption", "td", "div"]), self.text(3, 20), 1)
                 else:
                     self.region(pick.choice(["advert", "side", "notice", "form", "menu", "advert"]))
-            if pick.random() < 0.2:
-                self.region(pick.choice(["comments", "menu", "footer"]))
+            if pick.random() < 0.4:
+                self.region(pick.choice(["comments", "comments", "menu", "footer", "side", "form"]))
 
         self.inside(pick.choice(ARTICLES), fill)
 
@@ -128,8 +128,9 @@ class _Writer:
         wrapper = pick.choice(WRAPPERS)
 
         def fill() -> None:
-            before = [k for k in ("header", "menu", "notice", "advert", "form", "side") if pick.random() < 0.45]
-            after = [k for k in ("side", "comments", "advert", "form", "notice", "menu", "footer") if pick.random() < 0.45]
+            share = 0.45 if pick.random() < 0.85 else 0.05  # some pages have hardly more than the article
+            before = [k for k in ("header", "menu", "notice", "advert", "form", "side") if pick.random() < share]
+            after = [k for k in ("side", "comments", "advert", "form", "notice", "menu", "footer") if pick.random() < share]
             for kind in before:
                 self.region(kind)
             self.inside(pick.choice(WRAPPERS), self.article)
