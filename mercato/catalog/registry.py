@@ -22,7 +22,8 @@ class RetailWarehouse(Warehouse):
 
 
 def open_warehouse(spark: SparkSession, folder: str, **options) -> RetailWarehouse:
-    raw = RetailTables(tune(spark, folder), folder)
+    sources = {f"{folder}/{source}.parquet" for source, _ in RetailTables.DERIVATIONS.values()}
+    raw = RetailTables(tune(spark, *sources), folder)
     warehouse = RetailWarehouse.from_raw(raw, start=RANGE_START, end=RANGE_END, **options)
     warehouse.raw, warehouse.spark = raw, spark
     return warehouse

@@ -16,31 +16,33 @@ ADAPTIVE = {
 }
 
 
-# One shuffle partition per 256 MB of stored input, before AQE coalesces. Beyond
-# the limit the driver's table of map outputs costs more than larger
-# partitions, which spill.
+# One shuffle partition per 256 MB of stored input, before AQE coalesces.
 BYTES_PER_PARTITION = 256 * 1024 * 1024
-MOST_PARTITIONS = 40_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def stored_bytes(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.getContentSummary(path).getLength()
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
 
 
-def tune(spark: SparkSession, folder: str | None = None) -> SparkSession:
-    """Apply the adaptive settings to a running session.
+def tune(spark: SparkSession, *tables: str, limit: int | None = None) -> SparkSession:
+    """Apply the adaptive settings to a running session, for all its later queries.
 
-    With a ``folder`` of input tables the number of shuffle partitions is
-    raised to suit its size. It is never lowered: AQE does that by itself, but
-    it cannot add partitions that a large input needs.
+    With the paths of the ``tables`` that will be read, the number of shuffle
+    partitions is raised to suit their size. It is never lowered: AQE does
+    that by itself, but it cannot add partitions that a large input needs.
+    There is no limit unless ``limit`` sets one: beyond it partitions grow
+    with the input and spill, while the driver's table of map outputs
+    stays small.
     """
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
-    if folder:
-        needed = min(stored_bytes(spark, folder) // BYTES_PER_PARTITION, MOST_PARTITIONS)
+    if tables:
+        needed = sum(stored_bytes(spark, table) for table in tables) // BYTES_PER_PARTITION
+        needed = needed if limit is None else min(needed, limit)
         current = spark.conf.get(INITIAL_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions"))
         if needed > int(current):
             spark.conf.set(INITIAL_PARTITIONS, str(needed))

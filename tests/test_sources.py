@@ -144,5 +144,8 @@ def test_shuffle_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 3_725
     monkeypatch.setattr(session, "stored_bytes", lambda *_: 100 * 10**12)
     session.tune(spark, sf_dir)
-    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 40_000
+    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 372_529
+    spark.conf.unset(session.INITIAL_PARTITIONS)
+    session.tune(spark, sf_dir, sf_dir, limit=50_000)
+    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 50_000
     spark.conf.unset(session.INITIAL_PARTITIONS)
