@@ -18,7 +18,8 @@ def read_table(
     """Read one table with a given schema from CSV or Parquet.
 
     A CSV may hold more columns than the schema, in any order: its header
-    names are matched, and values that do not fit their type are an error.
+    names are matched, and values that do not fit their type are an error. So
+    is a file of the folder whose header differs from that of the others.
     Nothing between two commas is NULL, ``""`` is the empty string.
     """
     if form == "parquet":
@@ -36,6 +37,7 @@ def read_table(
     return (
         spark.read.schema(full)
         .options(header=True, quote='"', escape='"', multiLine=False, mode="FAILFAST")
+        .options(enforceSchema=False)  # each file's header is compared with the first's
         .options(timestampNTZFormat="yyyy-MM-dd HH:mm:ss", nullValue="\\N", emptyValue="")
         .csv(path)
         .select(*schema.names)
