@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions import rules
-from mercato.functions.exact import MONEY, mean, money_mean_over
+from mercato.functions.exact import MONEY, money_mean_over, ratio
 from mercato.operators.joins import large_join
 from mercato.operators.statistics import figure
 
@@ -20,7 +20,9 @@ def category_metrics(
     """Every figure of a category in one pass over the items.
 
     Revenue and reviews count items with a known order only, the two time
-    bands count all items.
+    bands count all items. Items are added up by category and order first:
+    the join with the orders has left them partitioned by order, so this needs
+    no shuffle, and distinct orders are then rows with a known order.
     """
     last_day = figure(fct, F.max("purchase_date"))
     day, value = F.col("purchase_date"), F.col("item_total_value")
@@ -31,20 +33,28 @@ def category_metrics(
     )
     lines = large_join(sold, scored, "order_id", "left").withColumns(
         {
-            "_known_order": F.when(known, F.col("order_id")),
             "_known_value": F.when(known, value),
             "_recent": F.when(rules.recent_band(day, last_day, cut), value).otherwise(0),
             "_previous": F.when(rules.previous_band(day, last_day, cut), value).otherwise(0),
         }
     )
+    per_order = lines.groupBy("product_category", "order_id").agg(
+        F.max("_known").alias("_known"),
+        F.sum("_known_value").alias("_known_value"),
+        F.sum(score).alias("_scores"),
+        F.count(score).alias("_reviews"),
+        F.count_if(score == 1).alias("_one_star"),
+        F.sum("_recent").alias("_recent"),
+        F.sum("_previous").alias("_previous"),
+    )
     return (
-        lines.groupBy("product_category")
+        per_order.groupBy("product_category")
         .agg(
             F.sum("_known_value").cast(MONEY).alias("total_revenue"),
-            F.countDistinct("_known_order").alias("total_orders"),
-            mean(score).alias("avg_review_score"),
-            F.count_if(score == 1).alias("one_star_count"),
-            F.count(score).alias("total_reviews"),
+            F.count("_known").alias("total_orders"),
+            ratio(F.sum("_scores"), F.sum("_reviews")).cast("decimal(20,14)").alias("avg_review_score"),
+            F.sum("_one_star").alias("one_star_count"),
+            F.sum("_reviews").alias("total_reviews"),
             F.sum("_recent").cast(MONEY).alias("recent_rev"),
             F.sum("_previous").cast(MONEY).alias("prev_rev"),
         )
@@ -63,7 +73,8 @@ def product_quality_matrix(
 
     Categories are compared with the mean revenue of all categories including
     the missing one, which is then left out of the shares and of the result.
-    The windows run over one row per category.
+    The windows run over one row per category: they take it that categories,
+    unlike products, are a list that fits one task.
     """
     revenue = F.col("total_revenue")
     everything = Window.partitionBy()
