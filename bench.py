@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` names the folder of the source tables, ``BENCH_CPUS`` the
 number of local cores. Each query runs twice into a sink that discards the
-rows; the second run counts. ``from_raw_*`` plans everything from the source
+rows; the second run counts. The same is done on the smaller ``SMALL`` tables. ``from_raw_*`` plans everything from the source
 tables, ``stage`` writes the star schema, ``mart_*`` reads the written star.
 """
 
@@ -12,10 +12,10 @@ import json
 import os
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from mercato.catalog import REGISTRY, runner
-from mercato.operators.durable import new_path
+from mercato.operators.durable import delete_path, new_path
 from mercato.plans.warehouse import Warehouse
 from mercato.session import build_session
 from mercato.sources.retail import RANGE_END, RANGE_START, RetailTables
@@ -23,7 +23,15 @@ from mercato.sources.retail import RANGE_END, RANGE_START, RetailTables
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = 2
-FROM_RAW = ("fct_sales", "monthly_growth", "executive_summary", "customer_journey")
+SMALL = "sf0.01"
+FROM_RAW = (
+    "fct_sales",
+    "monthly_growth",
+    "executive_summary",
+    "customer_journey",
+    "unit_economics",
+    "strategic_risk_map",
+)
 
 
 def consume(frame: DataFrame) -> None:
@@ -54,26 +62,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
 
-    def stage() -> str:
-        folder = new_path(spark, "bench")
-        raw = RetailTables(spark, SF_DIR)
-        Warehouse.from_raw(raw, start=RANGE_START, end=RANGE_END).stage(folder)
-        return folder
-
-    seconds = {"stage": timed(stage)}
-    folder = stage()
-    for mart in (*Warehouse.MARTS, "monthly_growth_diff"):
-        # A fresh warehouse each time, so that nothing planned is kept.
-        seconds[f"mart_{mart}"] = timed(
-            lambda: consume(
-                getattr(
-                    Warehouse.from_staged(spark, folder, start=RANGE_START, end=RANGE_END), mart
-                )
-            )
-        )
-    for name in FROM_RAW:
-        query = runner(REGISTRY[name])
-        seconds[f"from_raw_{name}"] = timed(lambda: consume(query(spark, SF_DIR)))
+    seconds = measured(spark, SF_DIR)
+    # A second, smaller size shows how the times grow.
+    small_dir = os.path.join(os.path.dirname(SF_DIR.rstrip("/")), SMALL)
+    small = measured(spark, small_dir) if os.path.isdir(small_dir) and SMALL not in SF_DIR.split("/") else {}
     spark.stop()
     print(
         json.dumps(
@@ -83,10 +75,40 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
+                "small_sf": SMALL.removeprefix("sf"),
+                "small_queries": small,
+                "times_small": {name: round(seconds[name] / small[name], 2) for name in small},
             }
         )
     )
 
 
+def measured(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    def stage() -> str:
+        folder = new_path(spark, "bench")
+        with Warehouse.from_raw(
+            RetailTables(spark, sf_dir), start=RANGE_START, end=RANGE_END
+        ) as warehouse:
+            warehouse.stage(folder)
+        return folder
+
+    def mart(name: str) -> None:
+        # A fresh warehouse each time, so that nothing planned is kept.
+        with Warehouse.from_staged(
+            spark, folder, durable=True, start=RANGE_START, end=RANGE_END
+        ) as warehouse:
+            consume(getattr(warehouse, name))
+
+    seconds = {"stage": timed(stage)}
+    folder = stage()
+    for name in (*Warehouse.MARTS, "monthly_growth_diff"):
+        seconds[f"mart_{name}"] = timed(lambda: mart(name))
+    for name in FROM_RAW:
+        query = runner(REGISTRY[name])
+        seconds[f"from_raw_{name}"] = timed(lambda: consume(query(spark, sf_dir)))
+    delete_path(spark, folder)
+    return seconds
+
+
 if __name__ == "__main__":
     main()

@@ -12,17 +12,23 @@ from mercato.catalog.registry import RetailWarehouse as W
 from mercato.catalog.registry import add
 from mercato.functions.rules import Cutoffs
 from mercato.operators.durable import new_path
-from mercato.plans import executive, growth, staging
+from mercato.plans import growth, staging
 from mercato.plans.warehouse import Warehouse
 from mercato.sources.retail import RANGE_END, RANGE_START
 from mercato.sources.schemas import RAW_SCHEMAS
-from mercato.sources.tables import export_csv, publish, read_table
+from mercato.sources.tables import export_csv, publish, read_raw, read_table
 
 ORDER_MOMENTS = (
     "order_purchase_timestamp order_approved_at order_delivered_carrier_date"
     " order_delivered_customer_date order_estimated_delivery_date"
 )
 
+
+def _reopened(w: W, **options) -> Warehouse:
+    """A warehouse over the same raw tables with other options."""
+    return Warehouse.from_raw(w.raw, start=RANGE_START, end=RANGE_END, **options)
+
+
 # Raw tables
 
 _RAW_ORACLE = {
@@ -200,7 +206,7 @@ add(
 add(
     "product_quality_matrix_review_guard",
     "O03 R24",
-    lambda w: w.quality_matrix(minimum_reviews=900).select(
+    lambda w: _reopened(w, minimum_reviews=900).product_quality_matrix.select(
         "product_category", "toxicity_ratio_pct"
     ),
     query(
@@ -213,16 +219,14 @@ add(
 add(
     "fct_sales_hash_key",
     "O01",
-    lambda w: staging.fct_sales(
-        w.raw["items"],
-        w.raw["orders"],
-        w.raw["customers"],
-        key="hash",
-        hash_columns=("order_id", "order_item_id", "product_id", "seller_id"),
-    ).select("sales_key", "order_id", "item_sequence_number", "item_total_value"),
+    lambda w: _reopened(
+        w, key="hash", hash_columns=("order_id", "order_item_id", "product_id", "seller_id")
+    ).fct_sales.select("sales_key", "order_id", "item_sequence_number", "item_total_value"),
     query(
-        """SELECT sha256(concat_ws('-', order_id, item_sequence_number, product_id, seller_id))
-                   AS sales_key,
+        f"""SELECT sha256(concat({", ".join(
+            f"coalesce(concat(length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '~')"
+            for c in ("order_id", "item_sequence_number", "product_id", "seller_id")
+        )})) AS sales_key,
                order_id, item_sequence_number, CAST(item_total_value AS DOUBLE) AS item_total_value
         FROM fct_plain"""
     ),
@@ -246,9 +250,9 @@ add(
 add(
     "executive_summary_product_leakage",
     "O04",
-    lambda w: executive.executive_summary(
-        w.monthly_growth, w.dim_orders, w.fct_plain, w.start, w.end, lost_measure="price"
-    ).select("sales_month", "canceled_revenue_loss"),
+    lambda w: _reopened(w, lost_measure="price").executive_summary.select(
+        "sales_month", "canceled_revenue_loss"
+    ),
     query(
         """SELECT CAST(sales_month AS VARCHAR) AS sales_month,
                CAST(canceled_price_loss AS DOUBLE) AS canceled_revenue_loss FROM executive"""
@@ -259,6 +263,7 @@ add(
 
 
 def _staged(w: W) -> Warehouse:
+    """A warehouse over staging tables written anew."""
     folder = new_path(w.spark, "staged")
     w.stage(folder)
     return Warehouse.from_staged(w.spark, folder, start=RANGE_START, end=RANGE_END)
@@ -328,4 +333,22 @@ def _csv_round_trip(w: W):
     return read_table(w.spark, path, w.product_quality_matrix.schema)
 
 
+def _csv_raw_tables(w: W):
+    """The raw tables written as CSV folders, read back by header, and a mart over them."""
+    paths = {}
+    for name in RAW_SCHEMAS:
+        paths[name] = new_path(w.spark, f"raw-{name}")
+        export_csv(w.raw[name], paths[name])
+    raw = read_raw(w.spark, paths)
+    return Warehouse.from_raw(raw, start=RANGE_START, end=RANGE_END).monthly_growth
+
+
+add(
+    "csv_raw_tables",
+    "IO01 P06",
+    _csv_raw_tables,
+    table("growth", days="sales_month", doubles=GROWTH_DOUBLES),
+)
+
+
 add("csv_export", "IO05 IO01", _csv_round_trip, table("matrix", doubles="total_revenue"))

@@ -235,7 +235,7 @@ PARTS: dict[str, str] = {
         SELECT product_id,
                if(product_category_name_english <> '', product_category_name_english,
                   product_category_name) AS product_category,
-               product_weight_g, volume AS volume_cm3, {size_bucket("volume")} AS volume_category
+               product_weight_g, CAST(volume AS BIGINT) AS volume_cm3, {size_bucket("volume")} AS volume_category
         FROM (SELECT p.*, t.product_category_name_english,
                      product_length_cm * product_width_cm * product_height_cm AS volume
               FROM raw_products p LEFT JOIN raw_translation t

@@ -6,6 +6,8 @@ before plus the position within the slice. Only slice sizes meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,13 @@ from mercato.operators.durable import written
 POSITION_BITS = 33
 
 
-def ordered_index(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+# Writes a frame under a label, once, and reads it back.
+Writer = Callable[[DataFrame, str], DataFrame]
+
+
+def ordered_index(
+    df: DataFrame, keys: list[str], name: str, write: Writer = written
+) -> DataFrame:
     """Add ``name`` = 1..n in the order of ``keys``, n being the row count.
 
     The slices are range partitions. They are written once, so that every
@@ -34,7 +42,7 @@ def ordered_index(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         .withColumn("_at", F.monotonically_increasing_id())
     )
     rows = (
-        written(sliced, "ordered-index")
+        write(sliced, "ordered-index")
         .withColumn("_slice", F.shiftrightunsigned("_at", POSITION_BITS))
         .withColumn("_position", F.col("_at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
     )
@@ -65,15 +73,18 @@ def magnitude(value: Column) -> Column:
     return F.floor(F.signum(number) * F.log1p(F.abs(number)) * STEPS)
 
 
-def percent_rank_desc(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+def percent_rank_desc(
+    df: DataFrame, group: str, value: str, name: str, write: Writer | None = None
+) -> DataFrame:
     """Add the percent rank of a number in descending order within ``group``.
 
     Equal values are counted before anything is sorted, and the distinct
     values of a group are sorted one magnitude at a time, so neither a group
     nor a value that holds most rows is gathered in one task. The rows are
-    written once, as they are counted and then joined with their ranks.
+    counted and then joined with their ranks; with ``write`` they are written
+    first, so that ``df`` is computed once only.
     """
-    rows = written(df, "ranked-rows")
+    rows = write(df, "ranked-rows") if write else df
     counted = (
         rows.groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("_n"))

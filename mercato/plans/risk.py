@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mercato.functions import rules
 from mercato.functions.exact import MONEY, mean, percent
 from mercato.operators.joins import large_join
-from mercato.operators.ranking import percent_rank_desc
+from mercato.operators.ranking import Writer, percent_rank_desc
 
 LANE_KEYS = [
     "product_category",
@@ -71,13 +71,18 @@ def strategic_risk_map(
     customers: DataFrame,
     orders: DataFrame,
     cut: rules.Cutoffs = rules.DEFAULTS,
+    write: Writer | None = None,
 ) -> DataFrame:
-    """Lanes with their revenue rank in the category and risk labels."""
+    """Lanes with their revenue rank in the category and risk labels.
+
+    The lanes are read twice; ``write`` keeps them, so that they are built once.
+    """
     ranked = percent_rank_desc(
         seller_lanes(fct, products, sellers, customers, orders),
         "product_category",
         "seller_category_revenue",
         "seller_revenue_rank",
+        write,
     )
     late_items, items = F.col("total_late_orders"), F.col("total_category_orders")
     return ranked.select(

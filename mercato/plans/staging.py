@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import rules
@@ -10,7 +10,8 @@ from mercato.functions.dates import whole_days
 from mercato.functions.exact import MONEY, item_value, mean
 from mercato.functions.geography import region_of, state_name
 from mercato.operators.joins import large_join
-from mercato.operators.ranking import ordered_index
+from mercato.operators.durable import written
+from mercato.operators.ranking import Writer, ordered_index
 
 
 def dim_customers(
@@ -110,7 +111,10 @@ def dim_products(products: DataFrame, translation: DataFrame) -> DataFrame:
     category = rules.category_name(
         F.col("product_category_name_english"), F.col("product_category_name")
     )
-    volume = F.col("product_length_cm") * F.col("product_width_cm") * F.col("product_height_cm")
+    sides = ("product_length_cm", "product_width_cm", "product_height_cm")
+    # Three wrong lengths of metres would not fit an INT.
+    length, width, height = (F.col(side).cast("bigint") for side in sides)
+    volume = length * width * height
     return named.select(
         "product_id",
         category.alias("product_category"),
@@ -139,25 +143,43 @@ def dim_sellers(sellers: DataFrame) -> DataFrame:
 ITEM_ORDER = ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"]
 
 
+# What identifies an item where item numbers are unique within an order.
+HASH_COLUMNS = ("order_id", "order_item_id")
+
+
+def stable_key(columns: tuple[str, ...]) -> Column:
+    """Digest of several columns in which NULLs and separators inside values cannot be mistaken.
+
+    Every value is preceded by its length, a NULL is a sign of its own.
+    """
+    parts = []
+    for name in columns:
+        value = F.col(name).cast("string")
+        parts.append(F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("~")))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def fct_sales(
     items: DataFrame,
     orders: DataFrame,
     customers: DataFrame,
     key: str | None = "row_number",
-    hash_columns: tuple[str, ...] = ("order_id", "order_item_id"),
+    hash_columns: tuple[str, ...] = HASH_COLUMNS,
+    write: Writer = written,
 ) -> DataFrame:
     """One row per order item.
 
     ``key`` chooses ``sales_key``: ``"row_number"`` counts the items in order
     of order and item number, ``"hash"`` digests ``hash_columns`` and so stays
-    the same when data is added, ``None`` leaves the column out. Marts that do
+    the same when data is added (it is as unique as these columns are
+    together), ``None`` leaves the column out. Marts that do
     not show the key use ``None``, as numbering needs a sort of all items.
     """
     if key == "row_number":
-        items = ordered_index(items, ITEM_ORDER, "sales_key")
+        items = ordered_index(items, ITEM_ORDER, "sales_key", write)
         keys = ["sales_key"]
     elif key == "hash":
-        keys = [F.sha2(F.concat_ws("-", *hash_columns), 256).alias("sales_key")]
+        keys = [stable_key(hash_columns).alias("sales_key")]
     elif key is None:
         keys = []
     else:

@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.functions.rules import DEFAULTS, Cutoffs
-from mercato.operators.durable import written
+from mercato.operators.durable import OwnedTables
 from mercato.plans import customers, executive, growth, logistics, products, risk, staging
 from mercato.sources.tables import publish, write_dimension, write_fact
 
@@ -27,6 +28,13 @@ class Warehouse:
     ``Warehouse.from_staged`` reads tables that ``stage`` has written. Marts
     that do not show ``sales_key`` read ``fct_plain``, which has no key to
     compute.
+
+    A ``durable`` warehouse writes what its marts read repeatedly, once, to a
+    folder of its own, when such a mart is first asked for: the fact, the
+    journeys, the lanes. ``close`` (or the end of a ``with`` block) removes these
+    tables, and with them what was built on them. One over raw tables is durable
+    by itself, one over staged tables only if asked: without, it starts no job
+    and writes nothing before a mart is read.
     """
 
     def __init__(
@@ -35,8 +43,14 @@ class Warehouse:
         end: dt.date = END,
         cut: Cutoffs = DEFAULTS,
         baseline: str = "rolling",
+        lost_measure: str = "item_total_value",
+        minimum_reviews: int = 0,
     ):
         self.start, self.end, self.cut, self.baseline = start, end, cut, baseline
+        self.lost_measure, self.minimum_reviews = lost_measure, minimum_reviews
+        self.durable = True
+        self._tables: OwnedTables | None = None
+        self._lock = RLock()
 
     @classmethod
     def from_raw(
@@ -44,18 +58,49 @@ class Warehouse:
         raw: Mapping[str, DataFrame],
         key: str = "row_number",
         location: str = "last_by_name",
+        hash_columns: tuple[str, ...] = staging.HASH_COLUMNS,
         **options,
     ) -> "Warehouse":
         self = cls(**options)
         self._raw, self._key, self._location = raw, key, location
+        self._hash_columns = hash_columns
         return self
 
     @classmethod
-    def from_staged(cls, spark: SparkSession, folder: str, **options) -> "Warehouse":
+    def from_staged(
+        cls, spark: SparkSession, folder: str, durable: bool = False, **options
+    ) -> "Warehouse":
         self = StagedWarehouse(**options)
-        self._spark, self._folder = spark, folder
+        self._spark, self._folder, self.durable = spark, folder, durable
+        return self
+
+    # Tables of its own
+
+    def _write(self, df: DataFrame, label: str) -> DataFrame:
+        with self._lock:
+            if self._tables is None:
+                self._tables = OwnedTables(df.sparkSession, "warehouse")
+            tables = self._tables
+            self._written = getattr(self, "_written", 0) + 1
+            name = f"{label}-{self._written}"
+        return tables.write(df, name)
+
+    @property
+    def _keep(self):
+        return self._write if self.durable else None
+
+    def close(self) -> None:
+        """Remove the tables this warehouse has written for its marts."""
+        if self._tables is not None:
+            self._tables.close()
+            self._tables = None
+
+    def __enter__(self) -> "Warehouse":
         return self
 
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     # Staging
 
     @cached_property
@@ -77,7 +122,9 @@ class Warehouse:
 
     def _fact(self, key: str | None) -> DataFrame:
         raw = self._raw
-        return staging.fct_sales(raw["items"], raw["orders"], raw["customers"], key)
+        return staging.fct_sales(
+            raw["items"], raw["orders"], raw["customers"], key, self._hash_columns, self._write
+        )
 
     @cached_property
     def fct_sales(self) -> DataFrame:
@@ -87,13 +134,14 @@ class Warehouse:
     def fct_plain(self) -> DataFrame:
         return self._fact(None)
 
-    def _reread(self, fct: DataFrame, *columns: str) -> DataFrame:
-        """The fact for a mart that reads it several times.
+    @cached_property
+    def fct_reread(self) -> DataFrame:
+        """The fact for marts that read it several times.
 
-        Joining it anew for every read would shuffle all items again, so the
-        columns the mart needs are written once.
+        Joining it anew for every read would shuffle all items again, so it is
+        written once for all these marts.
         """
-        return written(fct.select(*columns), "fact")
+        return self._write(self.fct_plain, "fact")
 
     def stage(self, folder: str) -> None:
         """Write the five staging tables below ``folder``, side by side."""
@@ -128,8 +176,10 @@ class Warehouse:
 
     @cached_property
     def executive_summary(self) -> DataFrame:
+        fct = self.fct_reread
+        months = growth.monthly_growth(fct, self.start, self.end, self.baseline, self.cut)
         return executive.executive_summary(
-            self.monthly_growth, self.dim_orders, self.fct_plain, self.start, self.end, cut=self.cut
+            months, self.dim_orders, fct, self.start, self.end, self.lost_measure, self.cut
         )
 
     @cached_property
@@ -138,40 +188,35 @@ class Warehouse:
 
     def journey(self, cut: Cutoffs) -> DataFrame:
         """The customer journey with other return or churn windows."""
-        fct = self._reread(
-            self.fct_plain,
-            "customer_unique_id",
-            "order_id",
-            "item_sequence_number",
-            "purchase_date",
-            "item_total_value",
+        return customers.customer_journey(
+            self.fct_reread, self.dim_customers, self.dim_orders, cut
         )
-        return customers.customer_journey(fct, self.dim_customers, self.dim_orders, cut)
 
     @cached_property
     def winback_segmentation(self) -> DataFrame:
-        # Written once: the mean of all journeys is needed before any is chosen.
-        journey = written(self.customer_journey, "journey")
+        # The mean of all journeys is needed before any is chosen.
+        journey = self.customer_journey
+        if self.durable:
+            journey = self._write(journey, "journey")
         return customers.winback_segmentation(journey, self.cut)
 
     @cached_property
     def product_quality_matrix(self) -> DataFrame:
-        return self.quality_matrix(cut=self.cut)
+        return self.quality_matrix(self.minimum_reviews, self.cut)
 
     def quality_matrix(self, minimum_reviews: int = 0, cut: Cutoffs = DEFAULTS) -> DataFrame:
         """The category matrix with other cut-offs or a guard on few reviews."""
-        fct = self._reread(
-            self.fct_plain, "order_id", "product_id", "purchase_date", "item_total_value"
-        )
         return products.product_quality_matrix(
-            fct, self.dim_products, self.dim_orders, minimum_reviews, cut
+            self.fct_reread, self.dim_products, self.dim_orders, minimum_reviews, cut
         )
 
     @cached_property
     def unit_economics(self) -> DataFrame:
-        fct = self._reread(
-            self.fct_sales, "sales_key", "order_id", "seller_id", "price", "freight_value"
-        )
+        # The only mart that shows the key, so it alone reads the fact with one several times.
+        columns = ("sales_key", "order_id", "seller_id", "price", "freight_value")
+        fct = self.fct_sales.select(*columns)
+        if self.durable:
+            fct = self._write(fct, "keyed-fact")
         return logistics.unit_economics(fct, self.dim_orders, self.dim_sellers, self.cut)
 
     @cached_property
@@ -183,6 +228,7 @@ class Warehouse:
             self.dim_customers,
             self.dim_orders,
             self.cut,
+            self._keep,
         )
 
     MARTS = (
@@ -197,7 +243,12 @@ class Warehouse:
     )
 
     def publish(self, prefix: str = "") -> list[str]:
-        """Register the staging tables and marts as temporary views."""
+        """Register the staging tables and marts as temporary views.
+
+        A durable warehouse writes what the marts reread, and its views show that
+        state until it is published anew; one over staged tables that is not
+        durable writes nothing, and its views read the staged tables as they are.
+        """
         names = (*DIMENSIONS, "fct_sales", *self.MARTS)
         return publish({name: getattr(self, name) for name in names}, prefix)
 
@@ -222,6 +273,6 @@ class StagedWarehouse(Warehouse):
     def fct_plain(self) -> DataFrame:
         return self.fct_sales
 
-    def _reread(self, fct: DataFrame, *columns: str) -> DataFrame:
-        return fct
-
+    @property
+    def fct_reread(self) -> DataFrame:
+        return self.fct_sales

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from mercato.catalog import REGISTRY, open_warehouse
 from mercato.operators.durable import new_path
-from mercato.plans import growth
+from mercato.plans import executive, growth, products
 from mercato.plans.warehouse import Warehouse
 from mercato.sources.retail import RANGE_END, RANGE_START, RetailTables
 
@@ -88,5 +88,30 @@ def test_staged_marts_equal_marts_from_raw(spark, sf_dir, staged):
         assert sorted(map(repr, left.collect())) == sorted(map(repr, right.collect())), name
 
 
+def fact_exchanges(frame, *columns: str) -> int:
+    """Exchanges on exactly these columns anywhere in the plan."""
+    keys = ", ".join(rf"{column}#\d+L?" for column in columns)
+    return len(re.findall(rf"Exchange hashpartitioning\({keys}, \d+\)", plan_of(frame)))
+
+
+def test_leakage_shuffles_the_fact_once(staged):
+    lost = executive.canceled_revenue(staged.fct_sales, staged.dim_orders)
+    # One for the fact, one for the canceled orders.
+    assert fact_exchanges(lost, "order_id") == 2
+    assert "order_id" not in "".join(re.findall(r"Exchange hashpartitioning\(([^)]*purchase_date[^)]*)\)", plan_of(lost)))
+
+
+def test_executive_summary_from_raw_reads_the_written_fact(spark, sf_dir):
+    with open_warehouse(spark, sf_dir) as warehouse:
+        # The items are joined once, for the written fact; the plan reads that only.
+        assert "lineitem.parquet" not in plan_of(warehouse.executive_summary)
+
+
+def test_product_matrix_needs_no_shuffle_on_category_and_order(staged):
+    metrics = products.category_metrics(staged.fct_sales, staged.dim_products, staged.dim_orders)
+    assert fact_exchanges(metrics, "product_category") == 1
+    assert fact_exchanges(metrics, "product_category", "order_id") == 0
+
+
 def test_contract_names_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
