@@ -48,13 +48,15 @@ from mercato.operators.durable import OwnedTables, written
 
 U64 = np.uint64
 #: Shingles a task packs at once, about 40 bytes each while they are sorted.
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 1_500_000
 #: Sets in one packed chunk from which on a token is sent as a notice.
 HOT_SETS = 64
 #: Stands for the number of sets of such a token.
 MANY = 2**31 - 1
 #: Token ranges for each shuffle partition; several, so that partitions get even shares.
-RANGES_PER_PARTITION = 8
+RANGES_PER_PARTITION = 4
+#: Longs of a set's parity sketch.
+SKETCH = 4
 
 
 @dataclass(frozen=True)
@@ -160,7 +162,7 @@ def measure_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 # ---- tokens by range -------------------------------------------------------------------------
 
-_PACKED = "range int, kind int, count int, bytes int, tokens binary, sets binary"
+_PACKED = "range int, kind int, count int, bytes int, tokens binary, owners int, sets binary"
 _PAIRS, _NOTICE, _HOT_PAIRS = 0, 1, 2
 
 
@@ -182,24 +184,51 @@ def _unpack(raw: bytes, count: int, size: int) -> np.ndarray:
     return np.cumsum(steps, dtype=U64)
 
 
+def _pack_owners(owners: np.ndarray, ids: np.ndarray) -> tuple[int, bytes]:
+    """Sets of a block once each, then for every token the place of its set among them."""
+    used, place = np.unique(owners, return_inverse=True)
+    return len(used), ids[used].tobytes() + place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()
+
+
+def _unpack_owners(raw: bytes, count: int) -> np.ndarray:
+    kind = np.uint16 if count <= 1 << 16 else np.uint32
+    return np.frombuffer(raw, np.int64, count)[np.frombuffer(raw, kind, offset=8 * count)]
+
+
+def _distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets and tokens of all parts, by token and set, each pair once."""
+    owners, tokens = (np.concatenate(part) for part in zip(*parts, strict=True))
+    order = np.lexsort((owners, tokens))
+    owners, tokens = owners[order], tokens[order]
+    fresh = np.ones(len(tokens), bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+    return owners[fresh], tokens[fresh]
+
+
+def _firsts(tokens: np.ndarray) -> np.ndarray:
+    """Where each token of a sorted row begins."""
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    return np.flatnonzero(new)
+
+
 def _pack_chunk(sets: dict[int, np.ndarray], ranges: int) -> pa.RecordBatch:
     ids = np.fromiter(sets, np.int64, len(sets))
-    lengths = np.array([len(tokens) for tokens in sets.values()])
     tokens = np.concatenate(list(sets.values()))
-    owners = np.repeat(ids, lengths)
+    owners = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(some) for some in sets.values()])
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    first = _firsts(tokens)
     repeats = np.diff(np.append(first, len(tokens)))
     hot = np.repeat(repeats >= HOT_SETS, repeats)
     rows: list[tuple] = []
 
     def send(kind: int, tokens: np.ndarray, owners: np.ndarray | None, where: np.ndarray) -> None:
         edges = np.flatnonzero(np.diff(where)) + 1
-        for low, high in zip([0, *edges], [*edges, len(where)]):
+        for low, high in zip([0, *edges], [*edges, len(where)], strict=True):
             size, packed = _pack(tokens[low:high])
-            sets = None if owners is None else owners[low:high].tobytes()
-            rows.append((int(where[low]), kind, high - low, size, packed, sets))
+            sets = (0, b"") if owners is None else _pack_owners(owners[low:high], ids)
+            rows.append((int(where[low]), kind, high - low, size, packed, *sets))
 
     def range_of(tokens: np.ndarray) -> np.ndarray:
         return ((tokens >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
@@ -210,11 +239,11 @@ def _pack_chunk(sets: dict[int, np.ndarray], ranges: int) -> pa.RecordBatch:
         send(_NOTICE, hots := tokens[first[repeats >= HOT_SETS]], None, range_of(hots))
         # The sets of hot tokens go by set, with their own tokens in order.
         tokens, owners = tokens[hot], owners[hot]
-        where = (_mix(owners.view(U64)) % U64(ranges)).astype(np.int64)
+        where = (_mix(ids.view(U64)) % U64(ranges)).astype(np.int64)[owners]
         order = np.lexsort((tokens, where))
         send(_HOT_PAIRS, tokens[order], owners[order], where[order])
-    names = ("range", "kind", "count", "bytes", "tokens", "sets")
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ("range", "kind", "count", "bytes", "tokens", "owners", "sets")
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
@@ -245,30 +274,25 @@ def shared_tokens(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
             yield _pack_chunk(sets, ranges)
 
     def count(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(name).to_pylist() for name in ("kind", "count", "bytes", "tokens", "sets"))))
-        unpacked = [(kind, _unpack(tokens, n, size), sets) for kind, n, size, tokens, sets in rows]
-        out = [
-            (np.frombuffer(sets, np.int64), tokens, np.full(len(tokens), MANY))
-            for kind, tokens, sets in unpacked
-            if kind == _HOT_PAIRS
-        ]
-        pairs = [(np.frombuffer(sets, np.int64), tokens) for kind, tokens, sets in unpacked if kind == _PAIRS]
-        if pairs:
-            notices = [tokens for kind, tokens, _ in unpacked if kind == _NOTICE]
-            owners, tokens = (np.concatenate(part) for part in zip(*pairs, strict=True))
-            order = np.lexsort((owners, tokens))
-            owners, tokens = owners[order], tokens[order]
-            fresh = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])))
-            owners, tokens = owners[fresh], tokens[fresh]
-            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        pairs: dict[int, list] = {_PAIRS: [], _NOTICE: [], _HOT_PAIRS: []}
+        names = ("kind", "count", "bytes", "tokens", "owners", "sets")
+        for kind, n, size, tokens, owners, sets in zip(*(table.column(name).to_pylist() for name in names), strict=True):
+            pairs[kind].append((_unpack_owners(sets, owners), _unpack(tokens, n, size)))
+        out = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
+        if pairs[_HOT_PAIRS]:
+            owners, tokens = _distinct_pairs(pairs[_HOT_PAIRS])
+            out.append((owners, tokens, np.full(len(tokens), MANY)))
+        if pairs[_PAIRS]:
+            owners, tokens = _distinct_pairs(pairs[_PAIRS])
+            first = _firsts(tokens)
             repeats = np.diff(np.append(first, len(tokens)))
-            if notices:
-                repeats_seen = np.where(np.isin(tokens[first], np.concatenate(notices)), MANY, repeats)
-            else:
-                repeats_seen = repeats
-            seen = np.repeat(repeats_seen, repeats)
+            seen = repeats
+            if pairs[_NOTICE]:
+                noticed = np.concatenate([tokens for _, tokens in pairs[_NOTICE]])
+                seen = np.where(np.isin(tokens[first], noticed), MANY, repeats)
+            seen = np.repeat(seen, repeats)
             out.append((owners[seen > 1], tokens[seen > 1], seen[seen > 1]))
-        columns = [np.concatenate(part) for part in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        columns = [np.concatenate(part) for part in zip(*out, strict=True)]
         return pa.table(
             {
                 "set_id": pa.array(columns[0], pa.int64()),
@@ -320,8 +344,23 @@ def combination_keys(size: int, tokens: list[int], sets: list[int], rule: JoinRu
     return list(keys)
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of tokens falls on each of 64 * SKETCH places.
+
+    Where two sketches differ, the sets differ in at least one token.
+    """
+    places = np.bincount((tokens.view(U64) >> U64(20)) % U64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+SKETCHES = tuple(f"sketch_{i}" for i in range(SKETCH))
+
+
 def index_combinations(sets: DataFrame, rule: JoinRule) -> DataFrame:
-    """A row for each set and combination key: ``combination``, ``node``, ``n``, ``own``."""
+    """A row for each set and combination key: ``combination``, ``node``, ``n``, ``own``, sketch.
+
+    ``own`` is the number of tokens that no other set has.
+    """
     source = only(sets, "node", "n", "tokens", "seen")
     importable(sets.sparkSession)
 
@@ -334,14 +373,16 @@ def index_combinations(sets: DataFrame, rule: JoinRule) -> DataFrame:
                 repeat = [len(k) for k in keys]
                 index = np.repeat(np.arange(len(rows)), repeat)
                 own = np.array([n - len(tokens) for _, n, tokens, _ in rows], np.int64)
+                sketch = np.array([parity_sketch(np.array(tokens, np.int64)) for _, _, tokens, _ in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([key for some in keys for key in some], pa.int64()),
                         part.column(0).take(pa.array(index)),
                         part.column(1).take(pa.array(index)),
                         pa.array(own[index], pa.int64()),
+                        *(pa.array(sketch[index, i], pa.int64()) for i in range(SKETCH)),
                     ],
-                    ["combination", "node", "n", "own"],
+                    ["combination", "node", "n", "own", *SKETCHES],
                 )
 
     node = sets.schema["node"].dataType
@@ -351,6 +392,7 @@ def index_combinations(sets: DataFrame, rule: JoinRule) -> DataFrame:
             T.StructField("node", node),
             T.StructField("n", T.LongType()),
             T.StructField("own", T.LongType()),
+            *(T.StructField(name, T.LongType()) for name in SKETCHES),
         ]
     )
     return source.mapInArrow(run, schema)
@@ -372,10 +414,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
     )
 
 
-def _promising(n_a, own_a, n_b, own_b, rule: JoinRule):
-    """Whether the tokens that are not a set's own leave enough for the pair's sizes."""
-    shared = F.least(n_a - own_a, n_b - own_b)
-    return (100 + rule.percent) * shared >= rule.percent * (n_a + n_b)
+def _promising(a, b, rule: JoinRule):
+    """Whether two sets can reach the similarity, by what surely tells them apart.
+
+    ``a`` and ``b`` give the columns n, own and the sketch of both. Tokens of
+    their own and places where the sketches differ are different tokens, and
+    with sizes of sum s the similarity allows (100 - p) * s / (100 + p) of them.
+    """
+    apart = a("own") + b("own")
+    for name in SKETCHES:
+        apart = apart + F.bit_count(a(name).bitwiseXOR(b(name)))
+    total = a("n") + b("n")
+    shared = F.least(a("n") - a("own"), b("n") - b("own"))
+    return ((100 + rule.percent) * apart <= (100 - rule.percent) * total) & (
+        (100 + rule.percent) * shared >= rule.percent * total
+    )
 
 
 def connected_components(tables: OwnedTables, edges: DataFrame, label: str) -> DataFrame:
@@ -429,18 +482,21 @@ def near_duplicates(
     spark: SparkSession = docs.sparkSession
     tables = OwnedTables(spark, "ngram-join")
     measured = tables.write(measure_sets(docs, key, text, rule.width), "measured")
-    classes = (
+    # Written, so that later joins with a set of very many copies are between plain tables, which Spark splits.
+    classes = tables.write(
         measured.where("set_id IS NOT NULL")
         .groupBy("set_id")
         .agg(F.min(key).alias("node"), F.max("n_shingles").alias("n"))
-        .where("node IS NOT NULL")
+        .where("node IS NOT NULL"),
+        "classes",
     )
     least = smallest_linked(rule)
     needed = F.ceil(F.col("n") * rule.percent / F.lit(100))
     gathered = (
         shared_tokens(docs, text, rule)
         .groupBy("set_id")
-        .agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("shared"))
+        # A token may reach a set's copies in two ways; it is one token.
+        .agg(F.sort_array(F.collect_set(F.struct("sets", "token"))).alias("shared"))
     )
     sets = tables.write(
         classes.where(F.col("n") >= least)
@@ -454,7 +510,7 @@ def near_duplicates(
     # Each list of a combination is tied to its leader.
     leaders = (
         keyed.groupBy("combination")
-        .agg(F.min(F.struct("own", "node", "n")).alias("leader"), F.count(F.lit(1)).alias("members"))
+        .agg(F.min(F.struct("own", "node", "n", *SKETCHES)).alias("leader"), F.count(F.lit(1)).alias("members"))
         .where("members > 1")
         .select("combination", "leader")
     )
@@ -462,7 +518,7 @@ def near_duplicates(
     ties = tables.write(
         keyed.join(leaders, "combination")
         .where(F.col("node") != lead["node"])
-        .where(_promising(F.col("n"), F.col("own"), lead["n"], lead["own"], rule))
+        .where(_promising(F.col, lead.getField, rule))
         .select(F.least("node", lead["node"]).alias("a"), F.greatest("node", lead["node"]).alias("b"))
         .distinct(),
         "ties",
@@ -472,7 +528,7 @@ def near_duplicates(
 
     # Pairs of a list that are in different components, and not compared yet.
     placed = keyed.join(component, "node", "left").select(
-        "combination", "node", "n", "own", F.coalesce("component", "node").alias("component")
+        "combination", "node", "n", "own", *SKETCHES, F.coalesce("component", "node").alias("component")
     )
     open_lists = (
         placed.groupBy("combination")
@@ -481,15 +537,15 @@ def near_duplicates(
         .select("combination")
     )
     placed = tables.write(placed.join(open_lists, "combination", "left_semi"), "placed")
-    other = placed.select("combination", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own", "component")))
-    rest = (
+    other = placed.select("combination", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own", "component", *SKETCHES)))
+    rest = tables.write(
         placed.join(other, "combination")
         .where("node < node_b AND component <> component_b")
-        .where(_promising(F.col("n"), F.col("own"), F.col("n_b"), F.col("own_b"), rule))
+        .where(_promising(F.col, lambda name: F.col(f"{name}_b"), rule))
         .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-        .join(ties, ["a", "b"], "left_anti")
-    )
+        .distinct(),
+        "rest",
+    ).join(ties, ["a", "b"], "left_anti")
     more = tables.write(_verified(rest, sets, rule), "more")
     final = tables.write(connected_components(tables, links.unionByName(more), "last"), "final")
     result = tables.write(
@@ -502,7 +558,7 @@ def near_duplicates(
         ),
         "result",
     )
-    tables.drop("measured", "sets", "combinations", "ties", "links", "component", "placed", "more", "final")
+    tables.drop("measured", "classes", "sets", "combinations", "ties", "links", "component", "placed", "rest", "more", "final")
     return result
 
 
