@@ -8,8 +8,9 @@ hands over to it wholly. A URL's score is the mean over its symbols of the log
 ratio of the two chances. The bound between accepted and rejected is
 calibrated on rule-decided URLs that did not train the models.
 
-The models are tables of at most 32**4 rows whatever the input, so the final
-table of log ratios can be broadcast.
+The models are tables of at most 32**4 rows whatever the input, so the tables
+of log ratios, for contexts of three symbols that examples have and for all
+contexts of two, can be broadcast.
 """
 
 from __future__ import annotations
@@ -81,9 +82,7 @@ def symbols_of(host: Column, path: Column) -> Column:
 def grams_of(symbols: Column) -> Column:
     """For every symbol, itself with the three before it as one number below 32**4."""
     count = F.size(symbols) - ORDER
-    at = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(
-        F.array().cast("array<int>")
-    )
+    at = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))))
 
     def number(i: Column) -> Column:
         out = F.get(symbols, i)
@@ -112,7 +111,13 @@ def _model(counts: DataFrame, examples: str, order: int) -> DataFrame:
         .groupBy("context")
         .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     )
-    grid = spark.range(size).select(F.col("id").alias("gram"), F.floor(F.col("id") / BASE).alias("context"))
+    if order == ORDER:
+        # Only contexts that either kind of example has: for the others the next shorter order speaks.
+        grid = counts.select(F.floor(F.col("gram") / BASE).alias("context")).distinct()
+        grid = grid.select("context", F.explode(F.sequence(F.lit(0), F.lit(BASE - 1))).alias("symbol"))
+        grid = grid.select((F.col("context") * BASE + F.col("symbol")).alias("gram"), "context")
+    else:
+        grid = spark.range(size).select(F.col("id").alias("gram"), F.floor(F.col("id") / BASE).alias("context"))
     full = grid.join(seen, "gram", "left").join(F.broadcast(contexts), "context", "left").na.fill(0)
     if order == 0:
         shorter = full.withColumn("before", F.lit(1.0 / BASE))
@@ -151,11 +156,14 @@ def judge_urls(
         matched(rules, F.col("host"), F.col("path"), "verdict").alias("ruled"),
     )
     tables = OwnedTables(spark, "url-filter")
-    examples = decided.where("ruled IS NOT NULL").select(
-        (F.col("ruled") == "allow").alias("accepted"),
-        # Equal URLs fall on one side, so that none is trained and calibrated with.
-        (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0).alias("held"),
-        grams_of(symbols_of(F.col("host"), F.col("path"))).alias("grams"),
+    examples = with_grams(
+        decided.where("ruled IS NOT NULL").select(
+            (F.col("ruled") == "allow").alias("accepted"),
+            # Equal URLs fall on one side, so that none is trained and calibrated with.
+            (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0).alias("held"),
+            "host",
+            "path",
+        )
     )
     counts = tables.write(
         examples.where("NOT held")
@@ -168,11 +176,12 @@ def judge_urls(
     if not (either[0] and either[1]):
         verdict = F.coalesce("ruled", F.lit(default))
         return decided.select(key, "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("score"))
-    yes = _model(counts, "yes", ORDER).withColumnRenamed("chance", "yes")
-    no = _model(counts, "no", ORDER).withColumnRenamed("chance", "no")
-    ratios = tables.write(
-        yes.join(no, "gram").select("gram", F.log(F.col("yes") / F.col("no")).cast("float").alias("ratio")), "ratios"
-    )
+    ratios = []
+    for order in (ORDER, ORDER - 1):
+        yes = _model(counts, "yes", order).withColumnRenamed("chance", "yes")
+        no = _model(counts, "no", order).withColumnRenamed("chance", "no")
+        ratio = F.log(F.col("yes") / F.col("no")).cast("float")
+        ratios.append(tables.write(yes.join(no, "gram").select("gram", ratio.alias("ratio")), f"ratios-{order}"))
     # The bound with the fewest errors, both kinds of example counted alike.
     step = F.floor(F.col("ratio") / STEP).cast("int")
     step = F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), step))
@@ -184,9 +193,8 @@ def judge_urls(
         .collect()
     }
     bound = calibrated(tally)
-    grams = F.when(F.col("ruled").isNull(), grams_of(symbols_of(F.col("host"), F.col("path"))))
     columns = [key, "host", "path", "rule", "ruled"]
-    judged = scored(decided.withColumn("grams", grams), ratios, columns).withColumn("score", F.col("ratio") - bound)
+    judged = scored(with_grams(decided, F.col("ruled").isNull()), ratios, columns).withColumn("score", F.col("ratio") - bound)
     verdict = (
         F.when(F.col("ruled").isNotNull(), F.col("ruled"))
         .when(F.col("score") < 0, F.lit("block"))
@@ -196,19 +204,31 @@ def judge_urls(
     return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
-def scored(rows: DataFrame, ratios: DataFrame, columns: list[str]) -> DataFrame:
+def with_grams(rows: DataFrame, where: Column | None = None) -> DataFrame:
+    """``rows`` (host, path) with ``grams``; null where a condition ``where`` doesn't hold."""
+    # The symbols get a column of their own: every gram reads them four times.
+    symbols = symbols_of(F.col("host"), F.col("path"))
+    split = rows.withColumn("symbols", symbols if where is None else F.when(where, symbols))
+    return split.withColumn("grams", grams_of(F.col("symbols"))).drop("symbols")
+
+
+def scored(rows: DataFrame, ratios: list[DataFrame], columns: list[str]) -> DataFrame:
     """``columns`` of every row with ``ratio``, the mean of its grams' log ratios (null without grams).
 
     Each row keeps a number through the grouping, so equal rows stay apart;
-    its grams are added up in the task that made them. The table of ratios
-    has at most 32**4 rows and is broadcast.
+    its grams are added up in the task that made them. The tables of ratios
+    have at most 32**4 and 32**3 rows and are broadcast.
     """
+    long, short = ratios
+    short = short.select(F.col("gram").alias("tail"), F.col("ratio").alias("short"))
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     spread = numbered.select("_row", *(F.col(f"`{c}`") for c in columns), F.explode_outer("grams").alias("gram"))
+    spread = spread.withColumn("tail", F.col("gram") % BASE**ORDER)
     return (
-        spread.join(F.broadcast(ratios), "gram", "left")
+        spread.join(F.broadcast(long), "gram", "left")
+        .join(F.broadcast(short), "tail", "left")
         .groupBy("_row", *(F.col(f"`{c}`") for c in columns))
-        .agg(F.avg(F.col("ratio").cast("double")).alias("ratio"))
+        .agg(F.avg(F.coalesce("ratio", "short").cast("double")).alias("ratio"))
     )
 
 
