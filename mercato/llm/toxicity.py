@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from mercato.llm.common import arrow_map, only
 
 #: Labelled rows the model is fitted on at most, in the mean (a share of the rows by hash).
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 #: Word beginnings of these lengths are terms too.
@@ -94,7 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, keep, key: str, text: str, label:
     schema = T.StructType(
         [
             T.StructField("toxic", T.IntegerType()),
-            T.StructField("slots", T.ArrayType(T.IntegerType())),
+            T.StructField("slots", T.BinaryType()),  # sorted numbers of 32 bits
             T.StructField("capitals", T.DoubleType()),
             T.StructField("repeats", T.DoubleType()),
             T.StructField("row", T.LongType()),
@@ -110,7 +110,7 @@ def sample(docs: DataFrame, labels: DataFrame, keep, key: str, text: str, label:
             shapes = [shapes_of(t, w) for t, w in zip(texts, words, strict=True)]
             return {
                 "toxic": [int(v) for v in batch.column(0).to_pylist()],
-                "slots": [sorted(slots_of(Counter(w).items(), known)) for w in words],
+                "slots": [np.array(sorted(slots_of(Counter(w).items(), known)), np.int32).tobytes() for w in words],
                 "capitals": [s[0] for s in shapes],
                 "repeats": [s[1] for s in shapes],
                 "row": batch.column(2),
@@ -257,15 +257,15 @@ def fit(
     teach nothing; of contradicting labels for a key the higher one counts.
     With no toxic or no clean row, all scores are that share.
     """
-    table = sample(docs, labels, keep, key, text, label, rows).toPandas()
-    table = table.sort_values("row", ignore_index=True)  # rows arrive in any order; sums should not
-    truth = table["toxic"].to_numpy(int)
-    if not len(table) or truth.min() == truth.max():
-        share = float(truth.mean()) if len(table) else 0.0
+    table = sample(docs, labels, keep, key, text, label, rows).toArrow()
+    table = table.sort_by("row")  # rows arrive in any order; sums should not
+    truth = table["toxic"].to_numpy().astype(int)
+    if not len(truth) or truth.min() == truth.max():
+        share = float(truth.mean()) if len(truth) else 0.0
         return ToxicityModel(np.zeros(0, int), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    slots = [np.asarray(s, np.int64) for s in table["slots"]]
+    slots = [np.frombuffer(s.as_py(), np.int32) for s in table["slots"]]
     flat = np.concatenate(slots)
-    owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    owner = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
     everything = np.bincount(flat, minlength=SLOTS)
     positive = np.bincount(flat[truth[owner] == 1], minlength=SLOTS)
     toxic = int(truth.sum())
