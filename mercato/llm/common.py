@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,26 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([place, *paths])
 
 
+#: What a worker process keeps from task to task, for the operator that ran last.
+_kept: dict[str, Any] = {}
+_ran_last: list[str] = []
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """A store that stays in the worker process until another operator's task runs there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def begin(operator: str) -> None:
+    """Let go of what another operator has kept in this worker process."""
+    if _ran_last != [operator]:
+        _kept.clear()
+        _ran_last[:] = [operator]
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_map(
     df: DataFrame,
     start: Callable[[], Callable[[pa.RecordBatch], dict | None]],
@@ -56,8 +77,10 @@ def arrow_map(
     """
     importable(df.sparkSession)
     arrow_schema = to_arrow_schema(schema)
+    operator = f"{start.__module__}.{start.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         work = start()
         for batch in batches:
             for low in range(0, batch.num_rows, rows):

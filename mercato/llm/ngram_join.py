@@ -43,12 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import arrow_map, importable, only
+from mercato.llm.common import arrow_map, begin, importable, only
 from mercato.operators.durable import OwnedTables, written
 
 U64 = np.uint64
 #: Shingles a task packs at once, about 40 bytes each while they are sorted.
-CHUNK_SHINGLES = 1_500_000
+CHUNK_SHINGLES = 700_000
 #: Sets in one packed chunk from which on a token is sent as a notice.
 HOT_SETS = 64
 #: Stands for the number of sets of such a token.
@@ -256,6 +256,7 @@ def shared_tokens(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
     width, least = rule.width, smallest_linked(rule)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shared_tokens")
         sets: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:

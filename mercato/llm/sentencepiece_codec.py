@@ -17,17 +17,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mercato.llm.common import arrow_map, only
+from mercato.llm.common import arrow_map, kept, only
 
 SPACE = "▁"
 #: Chunks in each of the two generations of a worker's store, about 250 bytes each.
-STORE_SIZE = 400_000
+STORE_SIZE = 200_000
 #: Longer chunks are encoded each time, so that the store's memory is bounded.
 STORED_LENGTH = 64
 
@@ -162,7 +161,6 @@ def chunks_of(text: str) -> list[str]:
     return [chunk[1:] for chunk in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str) -> PieceVocabulary:
     return PieceVocabulary(path)
 
@@ -257,7 +255,8 @@ def encode_documents(
         fields.append(T.StructField("decoded", T.StringType()))
 
     def start():
-        codec = _codec(model_path)
+        # One codec for each worker process, kept while the worker does no other operator's work.
+        codec = kept(model_path, lambda: Codec(model_path))
 
         def work(batch):
             rows = codec.rows(batch.column(1).to_pylist())
@@ -276,9 +275,3 @@ def encode_documents(
         return work
 
     return arrow_map(source, start, T.StructType(fields))
-
-
-@lru_cache(maxsize=2)
-def _codec(path: str) -> Codec:
-    """One codec for each worker process, kept while the worker is reused."""
-    return Codec(path)
