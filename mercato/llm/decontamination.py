@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.llm.common import arrow_map, only
+from mercato.operators.durable import OwnedTables
 
 WINDOW = 13
 #: Benchmark words whose automaton is held at once; about 1 KB a word.
@@ -219,6 +220,12 @@ def _matched(docs: DataFrame, key: str, text: str, block: list, window: int) ->
     return arrow_map(docs, start, schema)
 
 
+def _spare(names: list[str], wanted: str) -> str:
+    while wanted in names:
+        wanted += "_"
+    return wanted
+
+
 def _join_spans(spans: list) -> list[list[int]]:
     out: list[list[int]] = []
     for start, end in sorted(map(tuple, spans)):
@@ -258,21 +265,28 @@ def find_contamination(
     ``contaminated`` and ``spans`` (first word and the word behind the last).
     A null text has no words. Items that are null or without words match
     nothing; an empty benchmark leaves every document clean. Equal rows give
-    equal results. With several blocks the key has to be unique.
+    equal results. Every row has a result of its own, also where keys repeat or are
+    null: with several blocks the rows are numbered, and written once so that
+    the numbers last.
     """
     source = only(docs, key, text)
-    parts = [_matched(source, key, text, block, window) for block in blocks_of(benchmark, item, item_text, block_words)]
-    if not parts:
-        parts = [_matched(source, key, text, [], window)]
-    found = parts[0]
-    if len(parts) > 1:
+    blocks = list(blocks_of(benchmark, item, item_text, block_words))
+    if len(blocks) < 2:
+        found = _matched(source, key, text, blocks[0] if blocks else [], window)
+    else:
+        row = _spare([key, text], "row")
+        tables = OwnedTables(docs.sparkSession, "decontamination")
+        numbered = tables.write(source.withColumn(row, F.monotonically_increasing_id()), "rows")
+        parts = [_matched(only(numbered, row, text), row, text, block, window) for block in blocks]
+        merged = parts[0]
         for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy(key).agg(
+            merged = merged.unionByName(part)
+        merged = merged.groupBy(row).agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
+        found = only(numbered, row, key).join(merged, row).drop(row)
 
     coverage = limits.coverage
     fields = [

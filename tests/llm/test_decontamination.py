@@ -91,3 +91,18 @@ def test_cut_keeps_the_rest(spark):
 @pytest.mark.parametrize(("text", "words"), [("AÄb-c9", [b"a\xc3\x84b", b"c9"]), (None, []), ("...", [])])
 def test_words(text, words):
     assert d.words_of(text) == words
+
+
+def test_odd_rows_with_several_blocks(spark, odd_docs, odd_texts):
+    """Repeated and null ids keep a result for each row."""
+    rows = [(i, f"item {i} of some {'more ' * 40}words") for i in range(6)] + [(6, odd_texts[5]), (7, "One")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = odd_docs.unionByName(odd_docs.where("doc_id = 5").withColumn("doc_id", d.F.lit(None).cast("long")))
+    whole = d.find_contamination(docs, items).collect()
+    parts = d.find_contamination(docs, items, block_words=100).collect()
+    assert len(parts) == docs.count()
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+    for drop in (True, False):
+        whole = d.remove_contamination(docs, items, drop=drop).collect()
+        parts = d.remove_contamination(docs, items, drop=drop, block_words=100).collect()
+        assert sorted(map(repr, parts)) == sorted(map(repr, whole))
