@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from mercato.llm import (
     html_extraction,
     language_id,
     ngram_join,
+    periodic_runs,
     pii,
     quality_rules,
     sentencepiece_codec,
@@ -120,6 +122,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def planted_repeat(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of which one document in ten repeats a stretch up to its end."""
+    number = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or number % 10 or not words:
+        return words
+    share = number // 10
+    first = share % len(words)
+    period = 1 + (len(words) - first) // (3 + share % 8)
+    stretch = words[first : first + period]
+    return (words[:first] + stretch * -(-(len(words) - first) // period))[: len(words)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), rewrite=planted_repeat)
+
+    def fuller_first(a, b):
+        left, right = b["length"] * a["period"], a["length"] * b["period"]
+        return (
+            F.when(left != right, F.sign(left - right))
+            .when(a["start"] != b["start"], F.sign(a["start"] - b["start"]))
+            .otherwise(F.sign(a["period"] - b["period"]))
+            .cast("int")
+        )
+
+    listed = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    best = F.get(F.array_sort("runs", fuller_first), F.lit(0))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
@@ -131,6 +171,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 LLM_SQL: dict[str, str] = {
