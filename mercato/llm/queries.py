@@ -22,6 +22,7 @@ from mercato.llm import (
     token_rollup,
     toxicity,
     url_filter,
+    whitening,
 )
 from mercato.llm.common import read_table, remainder
 from mercato.operators.durable import new_path
@@ -122,6 +123,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return whitening.whiten(vectors, model).select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def planted_repeat(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words, of which one document in ten repeats a stretch up to its end."""
     number = zlib.crc32(str(doc_id).encode())
@@ -171,6 +189,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
