@@ -19,6 +19,7 @@ from mercato.llm import (
     quality_rules,
     sentencepiece_codec,
     sql,
+    suffix_dedup,
     token_rollup,
     toxicity,
     url_filter,
@@ -123,6 +124,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
+    texts = suffix_dedup.distinct_texts(docs).select(
+        "text_id",
+        F.struct(
+            "n_bytes",
+            removed.alias("n_removed"),
+            F.size("spans").cast("long").alias("n_spans"),
+            F.sha2("kept", 256).alias("kept_sha256"),
+        ).alias("digest"),
+    )
+    nothing = F.struct(
+        *(F.lit(0).cast("long").alias(name) for name in ("n_bytes", "n_removed", "n_spans")),
+        F.sha2(F.lit(""), 256).alias("kept_sha256"),
+    )
+    ids = docs.select("doc_id", suffix_dedup.text_id("text").alias("text_id"))
+    return ids.join(texts, "text_id", "left").select("doc_id", F.coalesce("digest", nothing).alias("digest")).select(
+        "doc_id", "digest.*"
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     model = whitening.fit(vectors)
@@ -189,6 +212,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
