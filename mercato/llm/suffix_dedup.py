@@ -9,23 +9,24 @@ on what is left of it.
 2. Each string of ``width`` bytes has an anchor: the window of ``anchor`` bytes in it
    with the least fingerprint, the first of equals. Equal strings have equal
    anchors, wherever they are. Neighbouring strings share theirs, so a text falls
-   into stretches of strings with one anchor, and each string is in one stretch.
-   Strings can only be equal if their anchors' fingerprints are.
-3. Stretches whose fingerprint occurs once can't hold a repeat and go. Equal
+   into stretches of strings with one anchor, and each string is in one stretch;
+   equal anchors less than ``CLOSE`` places apart, as in a text that repeats a word,
+   make one stretch. Strings can only be equal if their anchors are.
+3. Stretches whose anchor occurs once can't hold a repeat and go. Equal
    stretches become one piece with its number of copies; what follows works on
    pieces, so that a passage in a third of all documents is a few rows.
-4. The pieces of a fingerprint meet in a shard; one that has copies is put there
+4. The pieces of an anchor meet in a shard; one that has copies is put there
    twice. Shards get suffix arrays by induced sorting and permuted common
    prefixes (``induced_sorting``): a place whose suffix has ``width`` bytes in common
    with a neighbour's in the array begins a repeated string.
-5. A fingerprint shared by more than ``SHARD_PIECES`` different pieces (the edges of
+5. An anchor shared by more than ``SHARD_PIECES`` different pieces (the edges of
    a passage that very many documents quote, say) would make a shard without
    bound. Its strings are told apart by a hash of 128 bits each, which Spark counts
    with partial sums; as exact, but for a collision of hashes, and for any number.
 6. The places go back to the stretches and the texts they were found in.
 
 Nothing is collected: the largest group a task holds is a text's own places, or a
-shard of ``SHARD_PIECES`` pieces of less than ``2 * width`` bytes.
+shard of ``SHARD_PIECES`` pieces of at most ``2 * width`` bytes.
 
 Defined results: a null text has no row in ``distinct_texts``; an empty one, and one
 of fewer than ``width`` bytes, loses nothing. Ties don't occur: all copies go, none
@@ -52,10 +53,12 @@ from mercato.llm.induced_sorting import repeated_places
 from mercato.operators.durable import OwnedTables
 
 U64 = np.uint64
-#: More different pieces than these of one fingerprint are compared by hashes.
+#: Equal anchors at fewer places than these from the first one share its stretch.
+CLOSE = 32
+#: More different pieces than these of one anchor are compared by hashes.
 SHARD_PIECES = 16
 #: Bytes of the shards that a task sorts at once, and into how many strings they are dealt.
-SORT_BYTES, STRINGS = 2_000_000, 256
+SORT_BYTES, STRINGS = 1_200_000, 256
 #: Bytes fingerprinted at once; a longer text is taken in overlapping parts.
 PART_BYTES = 1_000_000
 #: Bytes of text for each bucket, at most, unless the session asks for more buckets.
@@ -120,7 +123,9 @@ def _parts(texts: list[bytes], rule: RepeatRule) -> Iterator[list[tuple[int, int
 
 
 def stretches(texts: list[bytes], rule: RepeatRule) -> Iterator[tuple[np.ndarray, ...]]:
-    """Stretches of strings with one anchor: text, first place, number of places, fingerprint, hash of the bytes."""
+    """Stretches of strings with one anchor: text, first place, number of places, number of
+    equal anchors, the anchor's fingerprint, hash of the bytes.
+    """
     for parts in _parts(texts, rule):
         data = np.frombuffer(b"".join(part for _, _, part in parts), np.uint8)
         prints = fingerprints(data, rule.anchor)
@@ -133,7 +138,16 @@ def stretches(texts: list[bytes], rule: RepeatRule) -> Iterator[tuple[np.ndarray
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(offsets, counts) + within
         anchors = anchor[starts]
-        first = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (within == 0))
+        moved = within == 0
+        moved[1:] |= anchors[1:] != anchors[:-1]
+        at = np.flatnonzero(moved)
+        fp = prints[anchors[at]]
+        other = within[at] == 0
+        other[1:] |= fp[1:] != fp[:-1]
+        away = (anchors[at] - np.maximum.accumulate(np.where(other, anchors[at], 0))) // CLOSE
+        other[1:] |= away[1:] != away[:-1]
+        chosen = np.flatnonzero(other)
+        first, fp, times = at[chosen], fp[chosen], np.diff(chosen, append=len(at))
         number = np.diff(first, append=len(starts))
         begins = starts[first]
         owner = np.searchsorted(offsets, begins, side="right") - 1
@@ -146,7 +160,8 @@ def stretches(texts: list[bytes], rule: RepeatRule) -> Iterator[tuple[np.ndarray
             np.array([part[0] for part in parts])[owner],
             begins - offsets[owner] + np.array([part[1] for part in parts])[owner],
             number,
-            prints[anchors[first]].view(np.int64),
+            times,
+            fp.view(np.int64),
             np.frombuffer(hashes, np.int64),
         )
 
@@ -212,8 +227,8 @@ def _array_repeats(pieces: DataFrame, rule: RepeatRule) -> DataFrame:
     return pieces.select("fp", "piece", "copies", "bytes").mapInArrow(run, schema)
 
 
-def _hashed_repeats(pieces: DataFrame, rule: RepeatRule) -> DataFrame:
-    """The same for pieces of any number: each string by its own hash."""
+def _hashed_strings(pieces: DataFrame, rule: RepeatRule) -> DataFrame:
+    """Each string of the pieces by a hash of its own (a, b)."""
     schema = StructType.fromDDL("a long, b long, fp long, piece long, place int, copies long")
 
     def start():
@@ -238,10 +253,13 @@ def _hashed_repeats(pieces: DataFrame, rule: RepeatRule) -> DataFrame:
 
         return work
 
-    strings = arrow_map(pieces, start, schema)
-    twice = strings.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1").select("a", "b")
-    found = strings.join(twice, ["a", "b"]).select("fp", "piece", F.struct(F.col("place").alias("first"), F.col("place").alias("last")).alias("range"))
-    return found.groupBy("fp", "piece").agg(F.collect_list("range").alias("ranges"))
+    return arrow_map(pieces, start, schema)
+
+
+def _more_than(count: int, rows: DataFrame, *key: str, weight: str | None = None) -> DataFrame:
+    """Keys of more than ``count`` rows, or of rows that weigh more together."""
+    total = F.sum(weight) if weight else F.count(F.lit(1))
+    return rows.groupBy(*key).agg(total.alias("n")).where(F.col("n") > count).select(*key)
 
 
 class _Texts:
@@ -278,11 +296,12 @@ def distinct_texts(docs: DataFrame, text: str = "text", rule: RepeatRule = Repea
             found = list(stretches(contents, rule))
             if not found:
                 return None
-            owner, place, places, fp, piece = (np.concatenate(column) for column in zip(*found))
+            owner, place, places, times, fp, piece = (np.concatenate(column) for column in zip(*found))
             return {
                 "text_id": ids.take(pa.array(owner)),
                 "place": pa.array(place, pa.int32()),
                 "places": pa.array(places, pa.int32()),
+                "times": pa.array(times, pa.int32()),
                 "fp": pa.array(fp),
                 "piece": pa.array(piece),
             }
@@ -290,11 +309,12 @@ def distinct_texts(docs: DataFrame, text: str = "text", rule: RepeatRule = Repea
         return work
 
     long_enough = texts.where(F.octet_length("text") >= rule.width).select("text_id", "text")
-    schema = StructType.fromDDL("text_id binary, place int, places int, fp long, piece long")
+    schema = StructType.fromDDL("text_id binary, place int, places int, times int, fp long, piece long")
+    # Counts are written before rows meet them: a join of two written tables splits a hot key over tasks.
     anchored = tables.write(arrow_map(long_enough, cut, schema), "anchored")
-    shared = anchored.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    candidates = tables.write(anchored.join(shared, "fp"), "candidates")
-    tables.drop("anchored")
+    shared = tables.write(_more_than(1, anchored, "fp", weight="times"), "shared")
+    candidates = tables.write(anchored.drop("times").join(shared, "fp"), "candidates")
+    tables.drop("anchored", "shared")
 
     # One place for each different piece, to fetch its bytes from.
     pieces = tables.write(
@@ -304,9 +324,9 @@ def distinct_texts(docs: DataFrame, text: str = "text", rule: RepeatRule = Repea
         ),
         "pieces",
     )
-    many = pieces.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_PIECES).select("fp", F.lit(True).alias("hashed"))
+    many = tables.write(_more_than(SHARD_PIECES, pieces, "fp"), "many")
     wanted = (
-        pieces.join(many, "fp", "left")
+        pieces.join(many.withColumn("hashed", F.lit(True)), "fp", "left")
         .withColumn("hashed", F.coalesce("hashed", F.lit(False)))
         .groupBy("text_id")
         .agg(F.collect_list(F.struct("fp", "piece", "copies", "hashed", "place", "places")).alias("wanted"))
@@ -327,10 +347,12 @@ def distinct_texts(docs: DataFrame, text: str = "text", rule: RepeatRule = Repea
 
     fetched = tables.write(arrow_map(texts.join(wanted, "text_id").select("text", "wanted"), fetch, schema, rows=64), "fetched")
     sharded = fetched.where("NOT hashed").repartition("fp").sortWithinPartitions("fp")
-    found = tables.write(
-        _array_repeats(sharded, rule).unionByName(_hashed_repeats(fetched.where("hashed"), rule)), "found"
-    )
-    tables.drop("pieces", "fetched")
+    strings = tables.write(_hashed_strings(fetched.where("hashed"), rule), "strings")
+    twice = tables.write(_more_than(1, strings, "a", "b", weight="copies"), "twice")
+    places = F.struct(F.col("place").alias("first"), F.col("place").alias("last"))
+    hashed = strings.join(twice, ["a", "b"]).groupBy("fp", "piece").agg(F.collect_list(places).alias("ranges"))
+    found = tables.write(_array_repeats(sharded, rule).unionByName(hashed), "found")
+    tables.drop("pieces", "many", "fetched", "strings", "twice")
     placed = candidates.join(found, ["fp", "piece"]).groupBy("text_id").agg(
         F.collect_list(F.struct("place", "ranges")).alias("repeats")
     )
