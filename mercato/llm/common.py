@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -46,6 +49,7 @@ def importable(spark: SparkSession) -> None:
 #: What a worker process keeps from task to task, for the operator that ran last.
 _kept: dict[str, Any] = {}
 _ran_last: list[str] = []
+_caches: list[Any] = []
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
@@ -55,12 +59,29 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return _kept[name]
 
 
+def worker_cache(maxsize: int) -> Callable:
+    """``lru_cache`` that empties when another operator's task begins in the worker process."""
+
+    def wrap(function: Callable) -> Callable:
+        cached = functools.lru_cache(maxsize)(function)
+        _caches.append(cached)
+        return cached
+
+    return wrap
+
+
 def begin(operator: str) -> None:
-    """Let go of what another operator has kept in this worker process."""
+    """Let go of what another operator has kept in this worker process, and give the memory back."""
     if _ran_last != [operator]:
         _kept.clear()
+        for cached in _caches:
+            cached.cache_clear()
         _ran_last[:] = [operator]
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have none
+        if trim:
+            trim(0)
 
 
 def arrow_map(

@@ -7,19 +7,20 @@ A window (13 words, or the whole of a shorter item) occurs where that length
 reaches it. Words inside occurrences are hit; spans of hit words that exceed
 a length or a coverage limit can be removed.
 
-The benchmark is read in blocks of a bounded number of words, so neither the
-driver nor a task ever holds more than one block's automaton at a time. Each
-block is one pass over the documents; the usual benchmark is one block.
+The benchmark is read in blocks of a bounded number of words. Each block is one
+pass over the documents, whose results are written before the next block is read,
+so a task holds one block's automaton and the driver the words of two blocks at
+most; the usual benchmark is one block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,17 +271,19 @@ def find_contamination(
     the numbers last.
     """
     source = only(docs, key, text)
-    blocks = list(blocks_of(benchmark, item, item_text, block_words))
-    if len(blocks) < 2:
-        found = _matched(source, key, text, blocks[0] if blocks else [], window)
+    blocks = blocks_of(benchmark, item, item_text, block_words)
+    block, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        found = _matched(source, key, text, block, window)
     else:
         row = _spare([key, text], "row")
         tables = OwnedTables(docs.sparkSession, "decontamination")
         numbered = tables.write(source.withColumn(row, F.monotonically_increasing_id()), "rows")
-        parts = [_matched(only(numbered, row, text), row, text, block, window) for block in blocks]
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
+        # Each block's matches are written before the next block comes to the driver.
+        merged = None
+        for number, block in enumerate(itertools.chain([block, second], blocks)):
+            part = tables.write(_matched(only(numbered, row, text), row, text, block, window), f"block-{number}")
+            merged = merged.unionByName(part) if merged else part
         merged = merged.groupBy(row).agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
@@ -349,65 +352,57 @@ def remove_contamination(
     and loses its spans of ``limits.span_words`` hit words or more. Documents
     that keep below the coverage limit are left as they are. Null texts stay.
     """
-    current = docs
-    coverage = limits.coverage
-    columns = docs.columns
+    columns, schema, coverage = docs.columns, docs.schema, limits.coverage
     at = columns.index(text)
-    schema = docs.schema
-    blocks = list(blocks_of(benchmark, item, item_text, block_words))
-    if not blocks:
-        return docs
     # The coverage limit needs the hits of all blocks; each block adds its spans to a spare column.
-    spare = "spans"
-    while spare in columns:
-        spare += "_"
+    spare = _spare(columns, "spans")
     spans_type = T.ArrayType(T.ArrayType(T.IntegerType()))
-    current = docs.withColumn(spare, F.lit(None).cast(spans_type))
     wide = T.StructType([*schema.fields, T.StructField(spare, spans_type)])
 
-    def matching(block):
+    def matching(block, last):
         def start():
             automaton = SuffixAutomaton(block, window)
 
             def work(batch):
-                out = {name: batch.column(i) for i, name in enumerate(columns)}
-                earlier = batch.column(len(columns)).to_pylist()
                 texts = batch.column(at).to_pylist()
-                out[spare] = [
+                found = [
                     (before or []) + [list(span) for span in automaton.hits(words_of(content))[0]]
-                    for content, before in zip(texts, earlier, strict=True)
+                    for content, before in zip(texts, batch.column(len(columns)).to_pylist(), strict=True)
                 ]
+                if not last:
+                    return {name: batch.column(i) for i, name in enumerate(columns)} | {spare: found}
+                keep = []
+                for i, spans in enumerate(map(_join_spans, found)):
+                    hit = sum(end - start for start, end in spans)
+                    bad = hit > 0 and coverage * hit >= len(words_of(texts[i]))
+                    if bad and not drop:
+                        texts[i] = cut_spans(texts[i], [s for s in spans if s[1] - s[0] >= limits.span_words])
+                    if not (bad and drop):
+                        keep.append(i)
+                out = {name: batch.column(i).take(_index(keep)) for i, name in enumerate(columns)}
+                out[text] = [texts[i] for i in keep]
                 return out
 
             return work
 
         return start
 
-    for block in blocks:
-        current = arrow_map(current, matching(block), wide)
-
-    def finish():
-        def work(batch):
-            keep, texts = [], []
-            for content, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                spans = _join_spans(spans or [])
-                hit = sum(end - start for start, end in spans)
-                bad = hit > 0 and coverage * hit >= len(words_of(content))
-                keep.append(not (bad and drop))
-                if bad and not drop:
-                    content = cut_spans(content, [s for s in spans if s[1] - s[0] >= limits.span_words])
-                texts.append(content)
-            chosen = np.flatnonzero(keep)
-            out = {name: batch.column(i).take(_index(chosen)) for i, name in enumerate(columns)}
-            out[text] = [texts[i] for i in chosen]
-            return out
-
-        return work
-
-    return arrow_map(current, finish, schema)
+    current = docs.withColumn(spare, F.lit(None).cast(spans_type))
+    tables = OwnedTables(docs.sparkSession, "decontamination")
+    blocks = blocks_of(benchmark, item, item_text, block_words)
+    block, number = next(blocks, None), 0
+    if block is None:
+        return docs
+    for following in blocks:
+        # Written between the passes, so that a task holds one block's automaton, and the driver two blocks' words.
+        current = tables.write(arrow_map(current, matching(block, False), wide), f"pass-{number}")
+        if number:
+            tables.drop(f"pass-{number - 1}")
+        block, number = following, number + 1
+    return arrow_map(current, matching(block, True), schema)
 
 
-def _index(chosen: np.ndarray):
+def _index(chosen: list[int]):
     import pyarrow as pa
 
     return pa.array(chosen, type=pa.int64())

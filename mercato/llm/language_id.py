@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import arrow_map, importable, only, remainder
+from mercato.llm.common import arrow_map, importable, only, remainder, worker_cache
 
 #: Slots for hashed n-grams, a power of two.
 SLOT_BITS = 14
@@ -40,7 +39,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 
 
-@lru_cache(maxsize=1)
+@worker_cache(maxsize=1)
 def _folded() -> np.ndarray:
     """By code point: the lower-case letter, or 0 for what is no letter."""
     table = np.zeros(0x110000, np.uint32)
