@@ -98,7 +98,7 @@ def test_odd_documents(spark, sf_dir, odd_texts):
 
 def test_all_queries_are_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in LLM_QUERIES}
     assert set(LLM_QUERIES) | {"pipeline"} <= set(names)
     assert set(LLM_SQL) <= set(contract.oracle_sql()) and "pipeline" not in contract.oracle_sql()
     assert SURROGATE_KEY
