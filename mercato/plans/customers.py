@@ -43,6 +43,48 @@ def first_touches(fct: DataFrame) -> DataFrame:
     )
 
 
+def customer_states(fct: DataFrame) -> DataFrame:
+    """Orders, revenue, the order of the first item row and the date of the second, per customer.
+
+    The sequence runs over item rows by date, order and item number, NULLs last: the
+    second row may belong to the first order. Item rows become one row per
+    customer, order and date, which is the only shuffle of the fact and combines an order's
+    rows before it. Of those a customer needs the first, the last one of its day,
+    and the days: with two rows on the first day the second row is of that
+    day, else of the next. A customer's state thus is bounded by the days of the
+    calendar, is merged task by task, and no list of rows is ever formed.
+    """
+    days = (
+        fct.where(F.col("customer_unique_id").isNotNull())
+        .groupBy("customer_unique_id", "order_id", "purchase_date")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("item_total_value").cast(MONEY).alias("revenue"),
+        )
+    )
+    day, order = F.col("purchase_date"), F.col("order_id")
+    undated, unnamed = day.isNull().alias("undated"), order.isNull().alias("unnamed")
+    first = F.struct(undated, day, unnamed, order, "rows")
+    last_of_first_day = F.struct((~day.isNull()).alias("dated"), -F.unix_date(day), unnamed, order)
+    states = days.groupBy("customer_unique_id").agg(
+        F.countDistinct("order_id").alias("total_lifetime_orders"),
+        F.sum("revenue").cast(MONEY).alias("total_lifetime_revenue"),
+        F.min(first).alias("first"),
+        F.max(last_of_first_day).alias("last"),
+        F.sort_array(F.collect_set(day)).alias("days"),
+    )
+    same_day = (F.col("first.rows") > 1) | ~F.col("first.order_id").eqNullSafe(F.col("last.order_id"))
+    return states.select(
+        "customer_unique_id",
+        "total_lifetime_orders",
+        "total_lifetime_revenue",
+        F.col("first.order_id").alias("first_order_id"),
+        F.when(same_day, F.col("first.purchase_date"))
+        .otherwise(F.get("days", F.lit(1)))
+        .alias("second_order_date"),
+    )
+
+
 def customer_journey(
     fct: DataFrame,
     customers: DataFrame,
@@ -54,12 +96,11 @@ def customer_journey(
         F.col("order_id").alias("first_order_id"),
         F.col("review_score").alias("first_order_review_score"),
     )
-    touches = large_join(first_touches(fct), scores, "first_order_id", "left")
+    states = large_join(customer_states(fct), scores, "first_order_id", "left")
     last_day = figure(fct, F.max("purchase_date"))
     first_day = F.col("first_order").cast("date")
     recent_day = F.col("recent_order").cast("date")
-    buyers = large_join(customers, customer_stats(fct), "customer_unique_id")
-    known = large_join(buyers, touches, "customer_unique_id", "left")
+    known = large_join(customers, states, "customer_unique_id")
     return known.withColumn("recency_days", F.datediff(last_day, recent_day)).select(
         "customer_unique_id",
         "customer_city",

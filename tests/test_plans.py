@@ -115,3 +115,16 @@ def test_product_matrix_needs_no_shuffle_on_category_and_order(staged):
 
 def test_contract_names_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_journey_shuffles_the_fact_once(staged):
+    """Item rows meet by customer, order and day; what is shuffled later is of order or customer grain."""
+    plan = plan_of(staged.customer_journey)
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", plan)
+    of_items = [keys for keys in shuffles if "purchase_date" in keys]
+    assert len(of_items) == 1 and "order_id" in of_items[0] and "customer_unique_id" in of_items[0]
+    # The fact is scanned for the states and for its last day, and nothing sorts or windows its rows.
+    assert "Window" not in plan
+    lines = plan.split("\n")
+    (place,) = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "purchase_date" in line]
+    assert "HashAggregate" in lines[place + 1] and "partial_count" in lines[place + 1]

@@ -1,5 +1,6 @@
 """Keys, values and copies that hold a third of all rows or more."""
 
+import datetime as dt
 import random
 from collections import Counter, defaultdict
 from decimal import Decimal as D
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import market
 from mercato.operators.durable import shared_folder
 from mercato.operators.ranking import first_rows, magnitude, ordered_index, percent_rank_desc
-from mercato.plans import staging
+from mercato.plans import customers, staging
 
 
 def test_ordered_index_with_a_hot_order_and_copies(spark):
@@ -130,3 +131,34 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(RuntimeError):
         shared_folder(Cluster())
     assert shared_folder(Cluster("/shared/tables")) == "/shared/tables"
+
+
+def test_journey_states_with_a_hot_customer_and_a_hot_order(spark):
+    """Half of all rows are one customer's, a sixth one order's; NULLs and orders of several days too."""
+    rng = random.Random(11)
+    day = lambda n: None if n is None else dt.date(2018, 1, 1) + dt.timedelta(n)
+    rows = [("hot", f"o{i // 3}", i % 3, day(rng.randrange(3, 300)), D(i % 90)) for i in range(4000)]
+    rows += [("hot", "big", i, day(2), D(1)) for i in range(1300)]
+    for i in range(2000):
+        n = rng.choice([None, *range(5)])
+        rows.append((f"c{i % 400}", rng.choice([None, f"p{rng.randrange(3)}"]), rng.randrange(3), day(n), D("0.50")))
+    rows += [(None, "x", 1, day(1), D(5)), ("once", "y", 1, day(9), D(7)), ("undated", "z", 1, None, D(7))]
+    rng.shuffle(rows)
+    schema = "customer_unique_id string, order_id string, item_sequence_number int, purchase_date date, item_total_value decimal(12,2)"
+    fact = spark.createDataFrame(rows, schema).repartition(7)
+    found = {r.customer_unique_id: tuple(r)[1:] for r in customers.customer_states(fact).collect()}
+    buckets = defaultdict(list)
+    for row in rows:
+        if row[0] is not None:
+            buckets[row[0]].append(row)
+    last = (True, "")
+    want = {}
+    for name, own in buckets.items():
+        own.sort(key=lambda r: ((r[3] is None, r[3] or day(0)), (False, r[1]) if r[1] is not None else last, r[2]))
+        orders = {r[1] for r in own if r[1] is not None}
+        second = own[1][3] if len(own) > 1 else None
+        want[name] = (len(orders), sum(r[4] for r in own), own[0][1], second)
+    assert found == want
+    # No window over a customer's rows, and no list of them.
+    plan = customers.customer_states(fact)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
