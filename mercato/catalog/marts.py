@@ -351,4 +351,40 @@ add(
 )
 
 
+def _csv_quarantine(w: W):
+    """Item files in two column orders, some prices unreadable: what is kept and what is set aside."""
+    path, bad = new_path(w.spark, "mixed-items"), new_path(w.spark, "bad-items")
+    items = w.raw["items"]
+    cents = (F.col("price") * 100).cast("long")
+    texts = items.select(
+        *(F.col(name) for name in items.columns if name != "price"),
+        F.when(cents % 97 == 0, F.lit("n/a")).otherwise(F.col("price").cast("string")).alias("price"),
+    )
+    even = F.col("order_item_id") % 2 == 0
+    export_csv(texts.where(even), f"{path}/even")
+    export_csv(texts.where(~even).select(*reversed(texts.columns)), f"{path}/odd")
+    kept = read_table(w.spark, path, RAW_SCHEMAS["items"], quarantine=bad)
+    whole = kept.agg(
+        F.lit("kept").alias("records"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("price").cast("double").alias("price"),
+        F.sum("order_item_id").alias("item_numbers"),
+    )
+    aside = w.spark.read.parquet(bad).groupBy(F.element_at(F.split("reason", ": "), 1).alias("records"))
+    return whole.unionByName(aside.agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+
+
+add(
+    "csv_quarantine",
+    "IO01 IO05",
+    _csv_quarantine,
+    query(
+        """SELECT 'kept' AS records, count(*) AS n, CAST(sum(price) AS DOUBLE) AS price,
+               CAST(sum(order_item_id) AS BIGINT) AS item_numbers
+        FROM raw_items WHERE CAST(price * 100 AS BIGINT) % 97 <> 0
+        UNION ALL
+        SELECT 'price is no decimal(12,2)', count(*), NULL, NULL
+        FROM raw_items WHERE CAST(price * 100 AS BIGINT) % 97 = 0 HAVING count(*) > 0"""
+    ),
+)
 add("csv_export", "IO05 IO01", _csv_round_trip, table("matrix", doubles="total_revenue"))

@@ -6,6 +6,7 @@ from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import market
 from mercato.catalog import open_warehouse
@@ -73,6 +74,79 @@ def test_raw_tables_round_trip_and_marts(spark, tmp_path, form):
     )
 
 
+def test_files_of_a_folder_have_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    (folder / "a.csv").write_text("order_id,review_score,at\no1,5,2018-01-02 03:04:05\no2,five,2018-01-02 03:04:05\n")
+    (folder / "b.csv").write_text(
+        'extra,at,review_score,order_id\n"x,y",2018-01-02T03:04:05.250,4,o3\n,,,\nz,2018-01-02,1,o4\nz,2018-01-02T03:04:05,1\n'
+        'z,2018-02-30T03:04:05,1,o5\n'
+    )
+    (folder / "c.csv").write_text("\ufefforder_id,at,review_score\n\"o \"\"6\",2018-01-02 03:04:05.5,2\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "_SUCCESS").write_text("")
+    schema = T.StructType([*RAW_SCHEMAS["reviews"], T.StructField("at", T.TimestampNTZType())])
+    bad = str(tmp_path / "bad")
+    kept = read_table(spark, str(folder), schema, quarantine=bad)
+    at = dt.datetime(2018, 1, 2, 3, 4, 5)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(
+        [("o1", 5, at), ("o3", 4, at.replace(microsecond=250_000)), (None, None, None), ('o "6', 2, at.replace(microsecond=500_000))],
+        key=repr,
+    )
+    rows = {(r.file.rsplit("/", 1)[1], r.record, r.reason) for r in spark.read.parquet(bad).collect()}
+    assert rows == {
+        ("a.csv", "o2,five,2018-01-02 03:04:05", "review_score is no int: five"),
+        ("b.csv", "z,2018-01-02,1,o4", "at is no timestamp_ntz: 2018-01-02"),
+        ("b.csv", "z,2018-01-02T03:04:05,1", "not as many values as columns"),
+        ("b.csv", "z,2018-02-30T03:04:05,1,o5", "at is no timestamp_ntz: 2018-02-30T03:04:05"),
+    }
+    # Whatever columns a query reads, the same records count.
+    assert kept.select("order_id").count() == kept.count() == 4
+    with pytest.raises(Exception, match="malformed record"):
+        read_table(spark, str(folder), schema).select("order_id").collect()
+
+
+def test_headers_that_cannot_be_read_by(spark, tmp_path):
+    twice = tmp_path / "twice.csv"
+    twice.write_text("order_id,review_score,order_id\no,1,p\n")
+    with pytest.raises(ValueError, match="twice"):
+        read_table(spark, str(twice), RAW_SCHEMAS["reviews"])
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, str(tmp_path / "nothing"), RAW_SCHEMAS["reviews"])
+    blank = tmp_path / "blank"
+    blank.mkdir()
+    (blank / "a.csv").write_text("")
+    assert read_table(spark, str(blank), RAW_SCHEMAS["reviews"]).count() == 0
+
+
+def test_compressed_and_headed_only_files(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "z"
+    folder.mkdir()
+    with gzip.open(folder / "a.csv.gz", "wt") as file:
+        file.write("review_score,order_id\n3,o1\n")
+    (folder / "b.csv").write_text("order_id,review_score\n")
+    assert [tuple(r) for r in read_table(spark, str(folder), RAW_SCHEMAS["reviews"]).collect()] == [("o1", 3)]
+
+
+def test_moments_survive_a_round_trip(spark, tmp_path):
+    moments = [dt.datetime(2018, 1, 2, 3, 4, 5), dt.datetime(2018, 1, 2, 3, 4, 5, 678), None]
+    frame = spark.createDataFrame([(i, m) for i, m in enumerate(moments)], "id int, at timestamp_ntz")
+    export_csv(frame, str(tmp_path / "m"))
+    again = read_table(spark, str(tmp_path / "m"), frame.schema)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_export_as_one_file(spark, tmp_path):
+    frame = spark.range(100).repartition(5).selectExpr("id", "'' AS t").orderBy("id")
+    for _ in range(2):  # the second time it takes the first file's place
+        export_csv(frame, str(tmp_path / "one.csv"), single=True)
+    lines = (tmp_path / "one.csv").read_text().splitlines()
+    assert lines == ["id,t"] + [f'{i},""' for i in range(100)]
+    assert [name for name in os.listdir(tmp_path) if not name.startswith(".")] == ["one.csv"]
+
+
 def test_export_format(spark, tmp_path):
     frame = spark.createDataFrame(
         [("", D("1.50"), None), ("a,b", None, 'say "x"')], "c string, n decimal(9,2), t string"
