@@ -9,6 +9,8 @@ from mercato.catalog.oracle import cents, half_up, in_range, query, rounded, tab
 from mercato.catalog.registry import RetailWarehouse as W
 from mercato.catalog.registry import add
 from mercato.functions.exact import MONEY, money, money_mean, money_mean_over, ratio
+from mercato.operators.cumulative import running_total_desc
+from mercato.operators.durable import written
 from mercato.operators.ranking import first_rows, ordered_index, percent_rank_desc
 from mercato.operators.statistics import figure, with_label_sums
 from mercato.plans import customers, executive, growth, products, risk, staging
@@ -611,15 +613,12 @@ add(
 
 
 def _category_windows(w: W):
-    revenue = F.col("total_revenue")
-    return (
-        products.category_metrics(w.fct_plain, w.dim_products, w.dim_orders)
-        .where(F.col("product_category").isNotNull())
-        .select(
-            "product_category",
-            F.sum(revenue).over(Window.partitionBy()).alias("global_total"),
-            F.sum(revenue).over(Window.orderBy(revenue.desc_nulls_first())).alias("running_total"),
-        )
+    metrics = products.category_metrics(w.fct_plain, w.dim_products, w.dim_orders)
+    named = written(metrics.where(F.col("product_category").isNotNull()), "categories")
+    return running_total_desc(named, "total_revenue", "running_total").select(
+        "product_category",
+        figure(named, F.sum("total_revenue")).alias("global_total"),
+        "running_total",
     )
 
 

@@ -17,8 +17,11 @@ def month_sentiment(orders: DataFrame, start: dt.date, end: dt.date) -> DataFram
     """Mean score, order counts by fate, and the score of the month before."""
     placed = F.col("order_purchase_timestamp")
     bounds = [F.lit(day).cast("timestamp_ntz") for day in (start, end)]
+    ordered = orders.where((placed >= bounds[0]) & (placed < bounds[1]))
+    if "purchase_month" in orders.columns:  # stored by month: the other months are not read
+        ordered = ordered.where(F.col("purchase_month").between(F.lit(start.replace(day=1)), F.lit(end)))
     months = (
-        orders.where((placed >= bounds[0]) & (placed < bounds[1]))
+        ordered
         .groupBy(month_of(placed).alias("sales_month"))
         .agg(
             mean(F.nullif(F.col("review_score"), F.lit(-1))).alias("avg_review_score"),
@@ -60,7 +63,10 @@ def executive_summary(
     """Revenue, growth, sentiment, fulfilment and leakage of each month."""
     # Both sides of the two joins have one row per month.
     sentiment = month_sentiment(orders, start, end)
-    lost = canceled_revenue(whole_months(fct, start, end), orders, lost_measure)
+    # An item was bought in its order's month, so orders of other months have no item here.
+    lost = canceled_revenue(
+        whole_months(fct, start, end), stored_months(orders, start, end), lost_measure
+    )
     joined = growth.join(F.broadcast(sentiment), "sales_month", "left").join(
         F.broadcast(lost), "sales_month", "left"
     )
@@ -82,18 +88,26 @@ def executive_summary(
     )
 
 
+def _month_bounds(start: dt.date, end: dt.date) -> tuple[dt.date, dt.date]:
+    after = (end.replace(day=1) + dt.timedelta(days=31)).replace(day=1)
+    return start.replace(day=1), after
+
+
+def stored_months(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Rows of the months that the range touches, if ``df`` is stored by month; else all."""
+    if "purchase_month" not in df.columns:
+        return df
+    first, after = _month_bounds(start, end)
+    month = F.col("purchase_month")
+    return df.where((month >= F.lit(first)) & (month < F.lit(after)))
+
+
 def whole_months(fct: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Rows of every month the range touches.
 
     Lost revenue is a figure of whole months, so the borders of the range do
     not cut it; other months find no partner in the growth table.
     """
-    first = start.replace(day=1)
-    after = (end.replace(day=1) + dt.timedelta(days=31)).replace(day=1)
+    first, after = _month_bounds(start, end)
     day = F.col("purchase_date")
-    kept = fct.where((day >= F.lit(first)) & (day < F.lit(after)))
-    if "purchase_month" in fct.columns:
-        kept = kept.where(
-            (F.col("purchase_month") >= F.lit(first)) & (F.col("purchase_month") < F.lit(after))
-        )
-    return kept
+    return stored_months(fct.where((day >= F.lit(first)) & (day < F.lit(after))), start, end)

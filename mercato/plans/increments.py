@@ -55,7 +55,10 @@ def stage_months(
     tables: dict[str, Table] = {}
     for name, day in (("fct_sales", F.col("purchase_date")), ("dim_orders", _order_day(warehouse))):
         rows = chosen(getattr(warehouse, name).withColumn(MONTH, month_of(day)))
-        parts = store.write(name, rows.hint("rebalance", MONTH), MONTH)
+        gathered = rows.hint("rebalance", MONTH)
+        if name == "dim_orders":
+            gathered = gathered.sortWithinPartitions(MONTH, "order_status")
+        parts = store.write(name, gathered, MONTH)
         tables[name] = updated(base.tables.get(name), rows.schema, names, parts)
     for name in WHOLE:
         tables[name] = store.write_whole(name, getattr(warehouse, name), base.tables.get(name))
@@ -77,7 +80,7 @@ class SnapshotWarehouse(Warehouse):
         return self.store.read(self.manifest, name)
 
     dim_customers = property(lambda self: self._table("dim_customers"))
-    dim_orders = property(lambda self: self._table("dim_orders").drop(MONTH))
+    dim_orders = property(lambda self: self._table("dim_orders"))
     dim_products = property(lambda self: self._table("dim_products"))
     dim_sellers = property(lambda self: self._table("dim_sellers"))
     fct_sales = property(lambda self: self._table("fct_sales"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions import rules
-from mercato.functions.exact import MONEY, money_mean_over, ratio
+from mercato.functions.exact import MONEY, money_mean, money_mean_over, ratio
+from mercato.operators.cumulative import running_total_desc
 from mercato.operators.joins import large_join
+from mercato.operators.ranking import Writer
 from mercato.operators.statistics import figure
 
 
@@ -62,34 +64,53 @@ def category_metrics(
     )
 
 
+def _windowed_shares(categories: DataFrame) -> DataFrame:
+    """Mean, total and running revenue of the named categories by windows."""
+    revenue = F.col("total_revenue")
+    everything = Window.partitionBy()
+    return (
+        categories.withColumn("_mean_revenue", money_mean_over(revenue, everything))
+        .where(F.col("product_category").isNotNull())
+        .withColumns(
+            {
+                "_total": F.sum(revenue).over(everything),
+                "_cumulative": F.sum(revenue).over(Window.orderBy(revenue.desc_nulls_first())),
+            }
+        )
+    )
+
+
+def _shares(categories: DataFrame) -> DataFrame:
+    """The same of any number of categories, which are a written table."""
+    revenue = F.col("total_revenue")
+    named = categories.where(F.col("product_category").isNotNull())
+    return running_total_desc(named, "total_revenue", "_cumulative").withColumns(
+        {
+            "_mean_revenue": figure(categories, money_mean(revenue)),
+            "_total": figure(named, F.sum(revenue)),
+        }
+    )
+
+
 def product_quality_matrix(
     fct: DataFrame,
     products: DataFrame,
     orders: DataFrame,
     minimum_reviews: int = 0,
     cut: rules.Cutoffs = rules.DEFAULTS,
+    write: Writer | None = None,
 ) -> DataFrame:
     """Pareto class, toxicity, quadrant and lifecycle of each category.
 
     Categories are compared with the mean revenue of all categories including
     the missing one, which is then left out of the shares and of the result.
-    The windows run over one row per category: they take it that categories,
-    unlike products, are a list that fits one task.
+    With ``write`` the categories are written once and may be any number. Without,
+    nothing is written, and windows over one row per category take it that
+    categories, unlike products, are a list that fits one task.
     """
     revenue = F.col("total_revenue")
-    everything = Window.partitionBy()
-    down_to_here = Window.orderBy(revenue.desc_nulls_first())
-    ranked = (
-        category_metrics(fct, products, orders, cut)
-        .withColumn("_mean_revenue", money_mean_over(revenue, everything))
-        .where(F.col("product_category").isNotNull())
-        .withColumns(
-            {
-                "_total": F.sum(revenue).over(everything),
-                "_cumulative": F.sum(revenue).over(down_to_here),
-            }
-        )
-    )
+    categories = category_metrics(fct, products, orders, cut)
+    ranked = _shares(write(categories, "categories")) if write else _windowed_shares(categories)
     score = F.col("avg_review_score")
     return ranked.select(
         "product_category",

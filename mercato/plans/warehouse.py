@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mercato.functions.rules import DEFAULTS, Cutoffs
 from mercato.operators.durable import OwnedTables
 from mercato.plans import customers, executive, growth, logistics, products, risk, staging
-from mercato.sources.tables import publish, write_dimension, write_fact
+from mercato.sources.tables import publish, write_dimension, write_fact, write_orders
 
 # The analysis range of the original data.
 START, END = dt.date(2017, 1, 1), dt.date(2018, 9, 1)
@@ -156,7 +156,8 @@ class Warehouse:
         write_fact(self.fct_sales, f"{folder}/fct_sales")
 
     def _stage_dimension(self, name: str, folder: str) -> None:
-        write_dimension(getattr(self, name), f"{folder}/{name}")
+        write = write_orders if name == "dim_orders" else write_dimension
+        write(getattr(self, name), f"{folder}/{name}")
 
     # Marts
 
@@ -207,7 +208,7 @@ class Warehouse:
     def quality_matrix(self, minimum_reviews: int = 0, cut: Cutoffs = DEFAULTS) -> DataFrame:
         """The category matrix with other cut-offs or a guard on few reviews."""
         return products.product_quality_matrix(
-            self.fct_reread, self.dim_products, self.dim_orders, minimum_reviews, cut
+            self.fct_reread, self.dim_products, self.dim_orders, minimum_reviews, cut, self._keep
         )
 
     @cached_property

@@ -205,6 +205,22 @@ def write_fact(fct: DataFrame, path: str) -> None:
     )
 
 
+def write_orders(orders: DataFrame, path: str) -> None:
+    """Write the orders with a folder per month of purchase, sorted by status within a file.
+
+    A date range then reads its months only, and a status the row groups that hold it.
+    """
+    month = month_of(F.col("order_purchase_timestamp").cast("date"))
+    (
+        orders.withColumn("purchase_month", month)
+        .hint("rebalance", "purchase_month")
+        .sortWithinPartitions("purchase_month", "order_status")
+        .write.mode("overwrite")
+        .partitionBy("purchase_month")
+        .parquet(path)
+    )
+
+
 def publish(frames: Mapping[str, DataFrame], prefix: str = "") -> list[str]:
     """Make DataFrames readable by name from ``spark.sql``."""
     for name, frame in frames.items():

@@ -18,6 +18,11 @@ def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def planned(frame) -> str:
+    """The plan before it ran; one that has run shows both."""
+    return plan_of(frame).split("== Initial Plan ==")[-1]
+
+
 @pytest.fixture(scope="module")
 def staged(spark, sf_dir):
     folder = new_path(spark, "plan-tests")
@@ -119,7 +124,7 @@ def test_contract_names_match():
 
 def test_journey_shuffles_the_fact_once(staged):
     """Item rows meet by customer, order and day; what is shuffled later is of order or customer grain."""
-    plan = plan_of(staged.customer_journey)
+    plan = planned(staged.customer_journey)
     shuffles = re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", plan)
     of_items = [keys for keys in shuffles if "purchase_date" in keys]
     assert len(of_items) == 1 and "order_id" in of_items[0] and "customer_unique_id" in of_items[0]
@@ -128,3 +133,18 @@ def test_journey_shuffles_the_fact_once(staged):
     lines = plan.split("\n")
     (place,) = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "purchase_date" in line]
     assert "HashAggregate" in lines[place + 1] and "partial_count" in lines[place + 1]
+
+
+def test_orders_are_read_by_month_and_status(staged):
+    """The month folders of the range only, and the status pushed to files that are sorted by it."""
+    orders = staged.dim_orders
+    assert "purchase_month" in orders.columns
+    start, end = RANGE_START.replace(day=1), RANGE_START.replace(day=28)
+    plan = plan_of(executive.month_sentiment(orders, start, end))
+    assert re.search(r"PartitionFilters: \[[^\]]*purchase_month", plan)
+    months = executive.stored_months(orders, start, end).select("purchase_month").distinct().collect()
+    assert [row[0] for row in months] == [start]
+    whole = planned(staged.executive_summary)
+    scans = [line for line in whole.split("\n") if "FileScan" in line and "order_status" in line]
+    assert len(scans) == 2 and all("purchase_month" in scan.split("PartitionFilters")[1] for scan in scans)
+    assert any("EqualTo(order_status,canceled)" in scan for scan in scans)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import market
-from mercato.operators.durable import shared_folder
+from mercato.operators.cumulative import running_total_desc
+from mercato.operators.durable import shared_folder, written
 from mercato.operators.ranking import first_rows, magnitude, ordered_index, percent_rank_desc
 from mercato.plans import customers, staging
 
@@ -162,3 +163,20 @@ def test_journey_states_with_a_hot_customer_and_a_hot_order(spark):
     # No window over a customer's rows, and no list of them.
     plan = customers.customer_states(fact)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "collect_list" not in plan
+
+
+def test_running_total_of_many_values_and_large_ties(spark):
+    rng = random.Random(13)
+    values = [D(rng.randrange(-500, 10**8)) / 100 for _ in range(100_000)]
+    values += [D("77.77")] * 20_000 + [None] * 3 + [D("0.00")] * 50 + [D("-3.00")] * 9 + [D("9999999999999.99")]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v decimal(22,2)").repartition(6)
+    totalled = running_total_desc(written(frame, "values"), "v", "total")
+    plan = totalled._jdf.queryExecution().executedPlan().toString()
+    # No window is fed by a single partition.
+    feeds = [chunk.split("Exchange ", 1)[1].split("\n")[0] for chunk in plan.split("Window ")[1:]]
+    assert feeds and all(feed.startswith("hashpartitioning") for feed in feeds)
+    sums, running = {}, D(0)
+    for value in sorted((v for v in values if v is not None), reverse=True):
+        running += value
+        sums[value] = running
+    assert all(r.total == sums.get(r.v) for r in totalled.collect())
