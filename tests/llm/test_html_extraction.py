@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,36 @@ def test_odd_rows(spark, model):
     found = sorted((r.n_chars, r.text[:3]) for r in h.extract_pages(pages, model).collect())
     assert found == [(0, ""), (0, ""), (0, ""), (999_999, "x y")]
     assert h.extract_pages(pages.limit(0), model).count() == 0
+
+
+def test_a_head_without_its_end_tag():
+    for page in (
+        "<html><head><title>T</title><article><p>Hello</p></article>",
+        "<head><meta charset=x><script>a<b</script>Hello",
+        "<html><head><title>T</title></head><body><p>Hello",
+        "<html><head><link rel=x><body><p>Hello",
+    ):
+        assert [plain(block.text) for block in blocks_of(page)] == ["Hello"], page
+
+
+def test_a_telling_id_behind_many_class_words():
+    words = " ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    (block,) = blocks_of(f'<div class="{words} {words}" id="comments">Hello</div>')
+    assert block.marks[-1] == "comments" and len(block.marks) == 41
+
+
+@pytest.mark.parametrize(
+    "piece", ['<a "', "<a '", '<a ">"', "<a", "</title", "<!x", "<b></i>", "<a b='>\"", "<p class=\"x>", "<title></title", "<!--"]
+)
+def test_odd_markup_takes_time_by_its_length(piece):
+    began = time.time()
+    blocks_of(piece * (1_000_000 // len(piece)))
+    blocks_of("<title>" + piece * (200_000 // len(piece)) + ">")
+    assert time.time() - began < 20
+
+
+def test_quotes_that_never_close_end_at_the_first_bracket():
+    assert [b.text for b in blocks_of('<p class="x>one</p><p>two')] == ["one", "two"]
+    assert [b.text for b in blocks_of('<p class="a>b">one</p>')] == ["one"]
+    far = "x" * 9000
+    assert [b.text for b in blocks_of(f'<p class="a>{far}">one</p><p title=">two</p>')] == ["one", "two"]
