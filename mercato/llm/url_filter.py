@@ -93,10 +93,11 @@ def grams_of(symbols: Column) -> Column:
     return F.transform(at, number)
 
 
-def _model(counts: DataFrame, examples: str, order: int) -> DataFrame:
+def _model(counts: DataFrame, examples: str, order: int, shorter: DataFrame | None) -> DataFrame:
     """``gram`` of order + 1 symbols and ``chance`` of its last symbol after the others.
 
-    ``counts``: gram of the full order and the number of ``examples`` of it.
+    ``counts``: gram of the full order and the number of ``examples`` of it; ``shorter``:
+    the model of the next lower order, a written table.
     """
     spark = counts.sparkSession
     size = BASE ** (order + 1)
@@ -119,15 +120,15 @@ def _model(counts: DataFrame, examples: str, order: int) -> DataFrame:
     else:
         grid = spark.range(size).select(F.col("id").alias("gram"), F.floor(F.col("id") / BASE).alias("context"))
     full = grid.join(seen, "gram", "left").join(F.broadcast(contexts), "context", "left").na.fill(0)
-    if order == 0:
-        shorter = full.withColumn("before", F.lit(1.0 / BASE))
+    if shorter is None:
+        full = full.withColumn("before", F.lit(1.0 / BASE))
     else:
-        below = _model(counts, examples, order - 1).select(F.col("gram").alias("tail"), F.col("chance").alias("before"))
+        below = shorter.select(F.col("gram").alias("tail"), F.col(examples).alias("before"))
         # At most 32**3 rows.
-        shorter = full.withColumn("tail", F.col("gram") % (size // BASE)).join(F.broadcast(below), "tail")
+        full = full.withColumn("tail", F.col("gram") % (size // BASE)).join(F.broadcast(below), "tail")
     weight = F.col("total") + F.col("kinds")
     mixed = F.when(weight > 0, (F.col("n") + F.col("kinds") * F.col("before")) / weight).otherwise(F.col("before"))
-    return shorter.select("gram", mixed.alias("chance"))
+    return full.select("gram", mixed.alias(examples))
 
 
 def judge_urls(
@@ -156,15 +157,16 @@ def judge_urls(
         matched(rules, F.col("host"), F.col("path"), "verdict").alias("ruled"),
     )
     tables = OwnedTables(spark, "url-filter")
-    examples = with_grams(
-        decided.where("ruled IS NOT NULL").select(
-            (F.col("ruled") == "allow").alias("accepted"),
-            # Equal URLs fall on one side, so that none is trained and calibrated with.
-            (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0).alias("held"),
-            "host",
-            "path",
-        )
+    # Written, so that what reads a row's grams computes nothing of it again, whatever the planner moves.
+    ruled = decided.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "*",
+        (F.col("ruled") == "allow").alias("accepted"),
+        # Equal URLs fall on one side, so that none is trained and calibrated with.
+        (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0).alias("held"),
     )
+    rows = tables.write(with_grams(ruled), "rows")
+    examples = rows.where("ruled IS NOT NULL")
     counts = tables.write(
         examples.where("NOT held")
         .select("accepted", F.explode("grams").alias("gram"))
@@ -175,17 +177,19 @@ def judge_urls(
     either = counts.agg(F.max("yes"), F.max("no")).first()
     if not (either[0] and either[1]):
         verdict = F.coalesce("ruled", F.lit(default))
-        return decided.select(key, "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("score"))
-    ratios = []
-    for order in (ORDER, ORDER - 1):
-        yes = _model(counts, "yes", order).withColumnRenamed("chance", "yes")
-        no = _model(counts, "no", order).withColumnRenamed("chance", "no")
-        ratio = F.log(F.col("yes") / F.col("no")).cast("float")
-        ratios.append(tables.write(yes.join(no, "gram").select("gram", ratio.alias("ratio")), f"ratios-{order}"))
+        return rows.select(key, "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("score"))
+    # Each order is written before the next is built on it, so no plan holds more than one.
+    ratios, model = [], None
+    for order in range(ORDER + 1):
+        yes, no = (_model(counts, kind, order, model) for kind in ("yes", "no"))
+        model = tables.write(yes.join(no, "gram"), f"model-{order}")
+        if order >= ORDER - 1:
+            ratio = F.log(F.col("yes") / F.col("no")).cast("float")
+            ratios.insert(0, model.select("gram", ratio.alias("ratio")))
     # The bound with the fewest errors, both kinds of example counted alike.
     step = F.floor(F.col("ratio") / STEP).cast("int")
     step = F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), step))
-    held = scored(examples.where("held"), ratios, ["accepted"]).where("ratio IS NOT NULL")
+    held = scored(examples.where("held"), ratios, ["_row", "accepted"]).where("ratio IS NOT NULL")
     tally = {
         row["step"]: (row["good"], row["bad"])
         for row in held.groupBy(step.alias("step"))
@@ -193,8 +197,8 @@ def judge_urls(
         .collect()
     }
     bound = calibrated(tally)
-    columns = [key, "host", "path", "rule", "ruled"]
-    judged = scored(with_grams(decided, F.col("ruled").isNull()), ratios, columns).withColumn("score", F.col("ratio") - bound)
+    free = scored(rows.where("ruled IS NULL"), ratios, ["_row"])
+    judged = rows.drop("grams").join(free, "_row", "left").withColumn("score", F.col("ratio") - bound)
     verdict = (
         F.when(F.col("ruled").isNotNull(), F.col("ruled"))
         .when(F.col("score") < 0, F.lit("block"))
@@ -204,30 +208,28 @@ def judge_urls(
     return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
-def with_grams(rows: DataFrame, where: Column | None = None) -> DataFrame:
-    """``rows`` (host, path) with ``grams``; null where a condition ``where`` doesn't hold."""
+def with_grams(rows: DataFrame) -> DataFrame:
+    """``rows`` (host, path) with ``grams``."""
     # The symbols get a column of their own: every gram reads them four times.
-    symbols = symbols_of(F.col("host"), F.col("path"))
-    split = rows.withColumn("symbols", symbols if where is None else F.when(where, symbols))
+    split = rows.withColumn("symbols", symbols_of(F.col("host"), F.col("path")))
     return split.withColumn("grams", grams_of(F.col("symbols"))).drop("symbols")
 
 
 def scored(rows: DataFrame, ratios: list[DataFrame], columns: list[str]) -> DataFrame:
-    """``columns`` of every row with ``ratio``, the mean of its grams' log ratios (null without grams).
+    """``columns``, a row's number first, with ``ratio``, the mean of its grams' log ratios; none without grams.
 
-    Each row keeps a number through the grouping, so equal rows stay apart;
-    its grams are added up in the task that made them. The tables of ratios
-    have at most 32**4 and 32**3 rows and are broadcast.
+    Only these columns go with every gram, so the cost follows the URL's length; a row's
+    grams are added up in the task that made them. The tables of ratios have at
+    most 32**4 and 32**3 rows and are broadcast.
     """
     long, short = ratios
     short = short.select(F.col("gram").alias("tail"), F.col("ratio").alias("short"))
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    spread = numbered.select("_row", *(F.col(f"`{c}`") for c in columns), F.explode_outer("grams").alias("gram"))
+    spread = rows.select(*columns, F.explode("grams").alias("gram"))
     spread = spread.withColumn("tail", F.col("gram") % BASE**ORDER)
     return (
         spread.join(F.broadcast(long), "gram", "left")
         .join(F.broadcast(short), "tail", "left")
-        .groupBy("_row", *(F.col(f"`{c}`") for c in columns))
+        .groupBy(*columns)
         .agg(F.avg(F.coalesce("ratio", "short").cast("double")).alias("ratio"))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -132,3 +133,27 @@ def test_odd_rows(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = LLM_QUERIES["op2_url_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_symbols_are_computed_once_and_long_urls_are_quick(spark):
+    """The symbols' expression stands once in the plan that makes the grams, and nowhere in those that read them."""
+    text = "s://b.org/" + "ü/x-7" * 10_000
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.net/es/y"), (3, text)], "page_id long, url string")
+    made = []
+    write = u.OwnedTables.write
+
+    def watch(self, df, name):
+        made.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")))
+        return write(self, df, name)
+
+    u.OwnedTables.write = watch
+    try:
+        began = time.time()
+        found = u.judge_urls(pages, URL_RULES)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        rows = {r.page_id: r for r in found.collect()}
+        assert time.time() - began < 60
+    finally:
+        u.OwnedTables.write = write
+    assert dict(made)["rows"] == 1 and sum(n for _, n in made) == 1 and "regexp_replace(" not in plan
+    assert len(rows) == 3 and rows[3].path == text.removeprefix("s://b.org")
