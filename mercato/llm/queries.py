@@ -120,7 +120,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = remainder("doc_id", TOXICITY_FOLDS)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), keep=fold != TOXICITY_HELD_OUT)
-    held = (remainder("doc_id", TOXICITY_FOLDS) == TOXICITY_HELD_OUT).alias("held_out")
+    held = language_id.held_out("doc_id", TOXICITY_FOLDS, TOXICITY_HELD_OUT).alias("held_out")
     return toxicity.score_documents(docs, model).select("doc_id", held, "score", "predicted")
 
 

@@ -43,6 +43,8 @@ LEVELS = (1, 2, 4)
 STEP = 32
 #: Terms the classifier may use.
 CLASSIFIER_TERMS = 4_096
+#: With few labelled rows it uses one term for so many of them, but so many terms at least.
+ROWS_PER_TERM, LEAST_TERMS = 2, 32
 #: Lexicon voters of each kind and level hold its strongest terms: so many the first, and so on.
 SHARES = (16, 64)
 VOTERS = KINDS * len(LEVELS) * len(SHARES)
@@ -277,7 +279,8 @@ def fit(
     with_term = np.bincount(flat, soft[owner], minlength=SLOTS)
     expected = everything * soft.mean()
     apart = np.where(everything >= 3, (with_term - expected) ** 2 / (expected + 1), 0)
-    used = np.sort(np.argsort(-apart, kind="stable")[:CLASSIFIER_TERMS])
+    most = min(CLASSIFIER_TERMS, max(LEAST_TERMS, len(truth) // ROWS_PER_TERM))
+    used = np.sort(np.argsort(-apart, kind="stable")[:most])
     used = used[apart[used] > 0]
     column = np.full(SLOTS, -1)
     column[used] = np.arange(len(used))
