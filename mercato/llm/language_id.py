@@ -4,8 +4,8 @@ Every learned language has a codeword; each bit is predicted by a binary
 classifier over hashed character n-grams of one to three letters, which weighs
 an n-gram by how much oftener it is seen in languages whose bit is one than in
 those whose bit is zero. Decoding adds a logistic loss of every bit, weighted
-by that bit's accuracy on the labelled rows, and takes the codeword of least
-loss; a small distance to the second flags the row as ambiguous.
+by how far the bit's two classes of languages lie apart, and takes the codeword of
+least loss; a small distance to the second flags the row as ambiguous.
 
 The n-gram counts come from all labelled rows: tasks count, Spark adds up by
 language and n-gram slot, and the driver receives one number for each language

@@ -4,11 +4,13 @@ A change inserts a document under a tokenizer version, deletes it, or revises
 its count. A batch of changes becomes a ledger of signed rows (documents and
 tokens by document, source, language and tokenizer) and their signed sums by
 source, language and tokenizer. Totals are the sums of all batches: they add
-up, so no earlier batch is read or written again.
+up, so no earlier batch is written again. What a deletion or a revision takes away
+is looked up in the ledgers of all earlier batches, which are read for it.
 
 A batch is prepared in a folder of its own attempt and committed by one rename
 to the name of its id. A second attempt under the same id, after a lost driver
-or a redelivery, finds the name taken and changes nothing.
+or a redelivery, finds the name taken and changes nothing. Two attempts at the same
+moment are not kept apart: one writer at a time is asked for.
 """
 
 from __future__ import annotations
