@@ -302,10 +302,53 @@ add(
 )
 add(
     "staged_monthly_growth",
-    "IO02 P06 F01",
+    "IO02 P06 F01 A06",
     lambda w: _staged(w).monthly_growth,
     table("growth", days="sales_month", doubles=GROWTH_DOUBLES),
 )
+add(
+    "staged_monthly_growth_diff",
+    "IO02 P07 A06 W02",
+    lambda w: _staged(w).monthly_growth_diff,
+    table(
+        "month_steps",
+        days="sales_month",
+        doubles=GROWTH_DOUBLES + " mom_revenue_diff",
+        drop="rolling, overall",
+    ),
+)
+add(
+    "staged_daily_volatility",
+    "IO02 P08 A07 W04 W05",
+    lambda w: _staged(w).daily_volatility,
+    table(
+        "volatility",
+        days="sales_date",
+        doubles="current_day_sale current_day_freight current_day_revenue",
+    ),
+)
+
+
+def _quarters(w: W):
+    """Quarters out of the daily sales, without the fact; an order of several days counts once."""
+    days = _staged(w).daily_sales.where("purchase_date IS NOT NULL")
+    quarters = days.withColumn("sales_quarter", F.trunc("purchase_date", "quarter"))
+    return growth.revenue_totals(quarters, "sales_quarter", "quarter")
+
+
+add(
+    "quarters_of_daily_sales",
+    "IO02 A06 A07",
+    _quarters,
+    query(
+        """SELECT CAST(CAST(date_trunc('quarter', purchase_date) AS DATE) AS VARCHAR) AS sales_quarter,
+                  CAST(sum(price) AS DOUBLE) AS quarter_sale,
+                  CAST(sum(freight_value) AS DOUBLE) AS quarter_freight,
+                  CAST(sum(item_total_value) AS DOUBLE) AS quarter_revenue,
+                  count(DISTINCT order_id) AS total_orders, CAST(sum(is_late) AS BIGINT) AS late_deliveries
+           FROM fct_plain WHERE purchase_date IS NOT NULL GROUP BY ALL"""
+    ),
+)
 
 
 def _view_query(w: W):

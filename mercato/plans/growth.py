@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.functions import rules
 from mercato.functions.dates import date_between, month_label, month_of
 from mercato.functions.exact import MONEY, money, money_mean_over, percent, ratio
+from mercato.operators.distinct import BITS, BLOCK, distinct_state, is_state, merge_state
 
 
 # The windows in this module have no partition key: they run over one row per
@@ -30,7 +32,35 @@ def in_range(fct: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     return kept
 
 
+#: What is added up by day and by month.
+MEASURES = ["price", "freight_value", "item_total_value", "is_late"]
+DAILY_SALES = T.StructType(
+    [T.StructField("purchase_date", T.DateType()), T.StructField(BLOCK, T.LongType())]
+    + [T.StructField(name, T.LongType() if name == "is_late" else T.DecimalType(38, 2)) for name in MEASURES]
+    + [T.StructField(BITS, T.BinaryType())]
+)
+
+
+def daily_sales(fct: DataFrame) -> DataFrame:
+    """Sums and bitmaps of the order numbers by day of purchase, from which any longer period is made.
+
+    ``fct`` has ``order_number`` (``staging.order_numbers``). The functions of this
+    module take this table in the place of the fact.
+    """
+    state = distinct_state(fct, "purchase_date", "order_number", MEASURES)
+    return state.select(*(F.col(field.name).cast(field.dataType) for field in DAILY_SALES))
+
+
 def revenue_totals(fct: DataFrame, period: str, stem: str) -> DataFrame:
+    if is_state(fct):
+        return merge_state(fct, period, MEASURES, "total_orders").select(
+            period,
+            F.col("price").cast(MONEY).alias(f"{stem}_sale"),
+            F.col("freight_value").cast(MONEY).alias(f"{stem}_freight"),
+            F.col("item_total_value").cast(MONEY).alias(f"{stem}_revenue"),
+            "total_orders",
+            F.col("is_late").alias("late_deliveries"),
+        )
     return fct.groupBy(period).agg(
         F.sum("price").cast(MONEY).alias(f"{stem}_sale"),
         F.sum("freight_value").cast(MONEY).alias(f"{stem}_freight"),

@@ -159,6 +159,14 @@ def stable_key(columns: tuple[str, ...]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def order_numbers(orders: DataFrame, write: Writer = written) -> DataFrame:
+    """``order_number`` = 1..n of every order id, by first purchase, so that a day's orders lie close together."""
+    known = orders.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
+        F.min("order_purchase_timestamp").alias("_first")
+    )
+    return ordered_index(known, ["_first", "order_id"], "order_number", write).drop("_first")
+
+
 def fct_sales(
     items: DataFrame,
     orders: DataFrame,
@@ -166,6 +174,7 @@ def fct_sales(
     key: str | None = "row_number",
     hash_columns: tuple[str, ...] = HASH_COLUMNS,
     write: Writer = written,
+    numbered: bool = False,
 ) -> DataFrame:
     """One row per order item.
 
@@ -174,6 +183,7 @@ def fct_sales(
     the same when data is added (it is as unique as these columns are
     together), ``None`` leaves the column out. Marts that do
     not show the key use ``None``, as numbering needs a sort of all items.
+    ``numbered`` adds ``order_number``, null where no order is known.
     """
     if key == "row_number":
         items = ordered_index(items, ITEM_ORDER, "sales_key", write)
@@ -197,7 +207,11 @@ def fct_sales(
     buyers = large_join(placed, accounts, "customer_id", "left")
     purchased = F.col("order_purchase_timestamp")
     arrived = F.col("order_delivered_customer_date")
-    return large_join(items, buyers, "order_id", "left").select(
+    sold = large_join(items, buyers, "order_id", "left")
+    if numbered:
+        # The items lie by order already: only the numbers are shuffled.
+        sold = large_join(sold, order_numbers(orders, write), "order_id", "left")
+    return sold.select(
         *keys,
         "order_id",
         F.col("order_item_id").alias("item_sequence_number"),
@@ -211,4 +225,5 @@ def fct_sales(
         rules.late(arrived, F.col("order_estimated_delivery_date")).alias("is_late"),
         rules.delivered(F.col("order_status")).alias("is_delivered"),
         purchased.cast("date").alias("purchase_date"),
+        *(["order_number"] if numbered else []),
     )

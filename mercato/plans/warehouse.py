@@ -120,10 +120,10 @@ class Warehouse:
     def dim_sellers(self) -> DataFrame:
         return staging.dim_sellers(self._raw["sellers"])
 
-    def _fact(self, key: str | None) -> DataFrame:
+    def _fact(self, key: str | None, numbered: bool = False) -> DataFrame:
         raw = self._raw
         return staging.fct_sales(
-            raw["items"], raw["orders"], raw["customers"], key, self._hash_columns, self._write
+            raw["items"], raw["orders"], raw["customers"], key, self._hash_columns, self._write, numbered
         )
 
     @cached_property
@@ -144,7 +144,7 @@ class Warehouse:
         return self._write(self.fct_plain, "fact")
 
     def stage(self, folder: str) -> None:
-        """Write the five staging tables below ``folder``, side by side."""
+        """Write the five staging tables below ``folder``, side by side, and the daily sales."""
         with ThreadPoolExecutor(len(DIMENSIONS) + 1) as pool:
             jobs = [pool.submit(self._stage_fact, folder)] + [
                 pool.submit(self._stage_dimension, name, folder) for name in DIMENSIONS
@@ -153,7 +153,10 @@ class Warehouse:
             job.result()
 
     def _stage_fact(self, folder: str) -> None:
-        write_fact(self.fct_sales, f"{folder}/fct_sales")
+        fact = self._fact(self._key, numbered=True)
+        write_fact(fact, f"{folder}/fct_sales")
+        stored = fact.sparkSession.read.schema(fact.schema).parquet(f"{folder}/fct_sales")
+        write_dimension(growth.daily_sales(stored), f"{folder}/daily_sales")
 
     def _stage_dimension(self, name: str, folder: str) -> None:
         write = write_orders if name == "dim_orders" else write_dimension
@@ -161,24 +164,30 @@ class Warehouse:
 
     # Marts
 
+    def _over_time(self, fact: str) -> DataFrame:
+        """What the totals by day and month are made from: the table ``fact``, or a smaller one in its place."""
+        return getattr(self, fact)
+
     @cached_property
     def monthly_growth(self) -> DataFrame:
         return growth.monthly_growth(
-            self.fct_plain, self.start, self.end, self.baseline, self.cut
+            self._over_time("fct_plain"), self.start, self.end, self.baseline, self.cut
         )
 
     @cached_property
     def monthly_growth_diff(self) -> DataFrame:
-        return growth.monthly_growth_diff(self.fct_plain, self.start, self.end)
+        return growth.monthly_growth_diff(self._over_time("fct_plain"), self.start, self.end)
 
     @cached_property
     def daily_volatility(self) -> DataFrame:
-        return growth.daily_volatility(self.fct_plain, self.start, self.end)
+        return growth.daily_volatility(self._over_time("fct_plain"), self.start, self.end)
 
     @cached_property
     def executive_summary(self) -> DataFrame:
         fct = self.fct_reread
-        months = growth.monthly_growth(fct, self.start, self.end, self.baseline, self.cut)
+        months = growth.monthly_growth(
+            self._over_time("fct_reread"), self.start, self.end, self.baseline, self.cut
+        )
         return executive.executive_summary(
             months, self.dim_orders, fct, self.start, self.end, self.lost_measure, self.cut
         )
@@ -270,6 +279,13 @@ class StagedWarehouse(Warehouse):
     dim_sellers = _staged("dim_sellers")
     fct_sales = _staged("fct_sales")
 
+    @cached_property
+    def daily_sales(self) -> DataFrame:
+        return self._spark.read.schema(growth.DAILY_SALES).parquet(f"{self._folder}/daily_sales")
+
+    def _over_time(self, fact: str) -> DataFrame:
+        return self.daily_sales
+
     @property
     def fct_plain(self) -> DataFrame:
         return self.fct_sales
