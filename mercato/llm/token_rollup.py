@@ -4,29 +4,33 @@ A change inserts a document under a tokenizer version, deletes it, or revises
 its count. A batch of changes becomes a ledger of signed rows (documents and
 tokens by document, source, language and tokenizer) and their signed sums by
 source, language and tokenizer. Totals are the sums of all batches: they add
-up, so no earlier batch is written again. What a deletion or a revision takes away
-is looked up in the ledgers of all earlier batches, which are read for it.
-
-A batch is prepared in a folder of its own attempt and committed by one rename
-to the name of its id. A second attempt under the same id, after a lost driver
-or a redelivery, finds the name taken and changes nothing. Two attempts at the same
-moment are not kept apart: one writer at a time is asked for.
+up, so no earlier batch is written again. The ledger is split by a hash of the document;
+what a deletion or a revision takes away is looked up in the parts that the batch's own
+documents fall into, and no others are read.
+
+A batch becomes visible with a manifest that names its files and carries its id. Manifests
+are numbered, and a number can be taken once: a second attempt under the same id, after a
+lost driver or a redelivery, changes nothing, and a batch that meets a rival's commit
+looks up again what it takes away, on top of that commit.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.llm.common import arrow_map, only
-from mercato.operators.durable import delete_path
+from mercato.operators.durable import OwnedTables, delete_path
+from mercato.sources.snapshots import Conflict, Manifest, Snapshots, updated
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ("source", "lang", "tokenizer")
 KEY = ("doc_id", "tokenizer")
+#: Parts of a new ledger; one that has batches keeps its own number.
+PARTS = 64
+_LEDGER = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long, part int"
+_TOTALS = "source string, lang string, tokenizer string, documents long, tokens long"
 
 
 def change(operation: str, docs: DataFrame, tokenizer: str, tokens: Column | None = None, order: Column | None = None) -> DataFrame:
@@ -45,34 +49,30 @@ def change(operation: str, docs: DataFrame, tokenizer: str, tokens: Column | Non
 class TokenRollup:
     """Rollups kept in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS) -> None:
+        self.spark, self.parts = spark, parts
         self.folder = folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.store = Snapshots(spark, self.folder)
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        place = self._path(f"{self.folder}/batches")
-        if not self._files.exists(place):
-            return []
-        return sorted(status.getPath().getName() for status in self._files.listStatus(place))
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/batches/{batch}/{part}" for batch in self.batches()]
-        reader = self.spark.read.schema(schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def ledger(self) -> DataFrame:
-        """All signed rows."""
-        return self._read(
-            "ledger", "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
-        )
+        return sorted(self.store.manifest().batches)
+
+    def _read(self, base: Manifest, name: str, schema: str, parts: set[int] | None = None) -> DataFrame:
+        table = base.tables.get(name)
+        if table is None:
+            return self.spark.createDataFrame([], schema)
+        chosen = [key for key, part in table.parts.items() if parts is None or part["part"] in parts]
+        return self.store.read_parts(name, table, chosen)
+
+    def ledger(self, parts: set[int] | None = None, base: Manifest | None = None) -> DataFrame:
+        """The signed rows, of all parts or of some."""
+        return self._read(base or self.store.manifest(), "ledger", _LEDGER, parts)
 
-    def current(self) -> DataFrame:
+    def current(self, parts: set[int] | None = None, base: Manifest | None = None) -> DataFrame:
         """What is counted now: a row for each document and tokenizer version."""
         return (
-            self.ledger()
+            self.ledger(parts, base)
             .groupBy("doc_id", *GROUP)
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
             .where("documents <> 0")
@@ -80,7 +80,7 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and tokenizer version; empty groups are left out."""
-        rows = self._read("totals", "source string, lang string, tokenizer string, documents long, tokens long")
+        rows = self._read(self.store.manifest(), "totals", _TOTALS)
         return (
             rows.groupBy(*GROUP)
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
@@ -98,8 +98,11 @@ class TokenRollup:
         """
         if not batch or "/" in batch or batch[0] in "._":
             raise ValueError(f"{batch!r} is no batch id")
-        if batch in self.batches():
+        base = self.store.manifest()
+        if batch in base.batches:
             return False
+        table = base.tables.get("ledger")
+        count = table.notes["count"] if table else self.parts
         last = F.max(F.struct("place", "operation", "source", "lang", "tokens")).alias("last")
         wanted = changes.groupBy(*KEY).agg(last).select(
             *(F.col(c).alias(f"new_{c}") for c in KEY),
@@ -107,34 +110,71 @@ class TokenRollup:
             F.col("last.source").alias("new_source"),
             F.col("last.lang").alias("new_lang"),
             F.coalesce("last.tokens", F.lit(0)).alias("new_tokens"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("part"),
         )
-        old = self.current()
+        with OwnedTables(self.spark, "token-changes") as tables:
+            # Written once, so that the changes are computed once, and again only read if a rival commits first.
+            wanted = tables.write(wanted, "wanted")
+            while True:
+                attempt = self._attempt(base, batch, wanted, count)
+                try:
+                    done = self._commit(attempt, batch)
+                except Conflict:
+                    done = None
+                if done:
+                    return True
+                self._discard(attempt, base)
+                base = self.store.manifest()
+                if done is False or batch in base.batches:
+                    return False
+                if "ledger" in base.tables and base.tables["ledger"].notes["count"] != count:
+                    return self.apply(batch, changes)
+
+    def _attempt(self, base: Manifest, batch: str, wanted: DataFrame, count: int) -> Manifest:
+        """The state after the batch, with its files written."""
+        # At most one row for each part.
+        touched = {row["part"] for row in wanted.select("part").distinct().collect()}
+        old = self.current(touched, base)
         on = old["doc_id"].eqNullSafe(wanted["new_doc_id"]) & old["tokenizer"].eqNullSafe(wanted["new_tokenizer"])
         # What is counted now and changes goes with a minus, what it becomes comes with a plus.
         taken = old.join(wanted.select("new_doc_id", "new_tokenizer"), on, "left_semi").select(
-            "doc_id", *GROUP, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")
+            "doc_id", *GROUP, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("part"),
         )
         put = wanted.where(F.col("operation") != DELETE).select(
             F.col("new_doc_id").alias("doc_id"),
             *(F.col(f"new_{c}").alias(c) for c in GROUP),
             F.lit(1).cast("long").alias("documents"),
             F.col("new_tokens").alias("tokens"),
+            "part",
         )
-        attempt = f"{self.folder}/attempts/{uuid.uuid4().hex}"
-        taken.unionByName(put).write.parquet(f"{attempt}/ledger")
-        ledger = self.spark.read.parquet(f"{attempt}/ledger")
-        ledger.groupBy(*GROUP).agg(
+        signed = taken.unionByName(put)
+        written = self.store.write("ledger", signed.hint("rebalance", "part"), "part")
+        if not written:
+            return base.with_batch(batch, {})
+        version = base.version + 1
+        fresh = {f"{version}-{part}": {**info, "part": int(part)} for part, info in written.items()}
+        ledger = updated(base.tables.get("ledger"), T.StructType.fromDDL(_LEDGER), (), fresh, count=count)
+        sums = self.store.read_parts("ledger", ledger, fresh).groupBy(*GROUP).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
-        ).coalesce(1).write.parquet(f"{attempt}/totals")
-        return self._commit(attempt, batch)
-
-    def _commit(self, attempt: str, batch: str) -> bool:
-        self._files.mkdirs(self._path(f"{self.folder}/batches"))
-        target = self._path(f"{self.folder}/batches/{batch}")
-        if not self._files.exists(target) and self._files.rename(self._path(attempt), target):
-            return True
-        delete_path(self.spark, attempt)
-        return False
+        )
+        (whole,) = self.store.write_whole("totals", sums).parts.values()
+        totals = updated(base.tables.get("totals"), T.StructType.fromDDL(_TOTALS), (), {str(version): whole})
+        return base.with_batch(batch, {"ledger": ledger, "totals": totals})
+
+    def _commit(self, attempt: Manifest, batch: str) -> bool:
+        """Publish the attempt; False if its batch is committed, a ``Conflict`` if another was meanwhile."""
+        if batch in self.batches():
+            return False
+        self.store.publish(attempt)
+        return True
+
+    def _discard(self, attempt: Manifest, base: Manifest) -> None:
+        """Remove the files only the attempt names."""
+        for name, table in attempt.tables.items():
+            kept = base.tables[name].parts if name in base.tables else {}
+            for key in table.parts.keys() - kept.keys():
+                delete_path(self.spark, f"{self.folder}/{name}/{table.parts[key]['path']}")
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...], text: str = "text") -> DataFrame:

@@ -96,3 +96,52 @@ def test_odd_texts_count(odd_docs, no_docs):
     rows = {x.doc_id: x.tokens for x in counted.collect()}
     assert rows[0] == rows[1] == 0 and rows[3] == 1 and rows[8] > 40_000
     assert r.count_tokens(no_docs, path, public_tokenizers.PATTERN, ("doc_id",)).count() == 0
+
+
+def test_rivals_do_not_count_twice(spark, tmp_path, monkeypatch):
+    """Two writers delete the same document at the same moment, and one id is delivered to both."""
+    folder = str(tmp_path / "rollup")
+    mine, rival = r.TokenRollup(spark, folder), r.TokenRollup(spark, folder)
+    assert mine.apply("load", changes(spark, [(r.INSERT, doc, "a", "en", "v1", 10, 0) for doc in range(5)]))
+    delete = changes(spark, [(r.DELETE, 1, None, None, "v1", None, 0)])
+    attempt = mine._attempt
+
+    def late(other, table):
+        """The rival commits once after this writer's attempt is written."""
+        waiting = [True]
+
+        def run(*args):
+            made = attempt(*args)
+            if waiting:
+                waiting.clear()
+                assert rival.apply(other, table)
+            return made
+
+        return run
+
+    monkeypatch.setattr(mine, "_attempt", late("rival", delete))
+    assert mine.apply("own", delete)
+    assert totals(mine) == {("a", "en", "v1"): (4, 40)} and mine.batches() == ["load", "own", "rival"]
+    revise = changes(spark, [(r.REVISE, 2, "a", "en", "v1", 3, 0)])
+    monkeypatch.setattr(mine, "_attempt", late("same", revise))
+    assert not mine.apply("same", revise)
+    assert totals(rival) == {("a", "en", "v1"): (4, 33)}
+    # Each commit's files are the only ones left.
+    named = {part["path"] for part in mine.store.manifest().tables["totals"].parts.values()}
+    assert {path.name for path in (tmp_path / "rollup" / "totals").iterdir() if path.is_dir()} == named
+
+
+def test_a_batch_reads_its_own_parts_only(spark, tmp_path, monkeypatch):
+    rollup = r.TokenRollup(spark, str(tmp_path / "rollup"), parts=16)
+    rollup.apply("load", changes(spark, [(r.INSERT, doc, "a", "en", "v1", 1, 0) for doc in range(2000)]))
+    whole = len(rollup.ledger().inputFiles())
+    read = []
+    ledger = rollup.ledger
+    monkeypatch.setattr(rollup, "ledger", lambda *args: read.append(ledger(*args)) or read[-1])
+    # Another number of parts does not move a ledger that has batches.
+    rollup.parts = 3
+    rollup.apply("one", changes(spark, [(r.DELETE, 7, None, None, "v1", None, 0), (r.DELETE, 9999, None, None, "v1", None, 0)]))
+    files = {file for frame in read for file in frame.inputFiles()}
+    assert whole >= 16 and 1 <= len(files) <= 2 * -(-whole // 16)
+    assert sum(frame.count() for frame in read) < 2000 / 4
+    assert totals(rollup) == {("a", "en", "v1"): (1999, 1999)}
