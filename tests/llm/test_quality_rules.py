@@ -64,6 +64,21 @@ def test_order_prefers_rejections_for_their_cost(spark, monkeypatch):
     assert q.cascade_order(docs, rules)[:2] == ["cheap", "dear"]
 
 
+def test_costs_are_those_of_the_rules(spark, sf_dir, tmp_path):
+    """Timed for real: what does nothing costs next to nothing, however long its job takes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    q.measured(docs).drop("text").write.parquet(str(tmp_path / "sample"))
+    table = spark.read.parquet(str(tmp_path / "sample"))
+    slow = F.length(F.sha2(F.repeat("_text", 40), 512)) > 128
+    empty = q._job_seconds(table, F.lit(False))
+    dear, cheap = (q._seconds(table, rule, empty) for rule in (slow, F.col("n_words") > 5))
+    assert dear > 5 * cheap
+    # With like rejections the cheap one goes first, in whatever order they are given.
+    hashed = F.length(F.sha2(F.repeat("_text", 40), 512)) > 0
+    rules = [q.Rule("dear", hashed & (F.col("n_words") > 5)), q.Rule("cheap", F.col("n_words") > 5)]
+    assert q.cascade_order(docs, rules)[0] == q.cascade_order(docs, rules[::-1])[0] == "cheap"
+
+
 def test_main_path_is_native(spark, sf_dir):
     plan = LLM_QUERIES["op6_quality_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
