@@ -13,13 +13,12 @@ given format this is one to one, so distinct entities stay distinct. Letters
 outside a-z are permuted within their script; digits of any script count as
 their values and are put back in the mention's script. A card number whose check digit is
 right gets a surrogate whose check digit is right. Given names come
-from lists by script and gender, never the name itself, surnames from syllables; these can collide.
+from lists by script and gender, never the name itself, surnames from syllables; both grow
+with each draw, as do other values after some draws, so there are always free ones.
 
 A check over all distinct entities finds surrogates that equal another's or
 that equal a real entity of the data; all but the first of each are drawn
-again, until none is left, or ``MOST_DRAWS`` times: a format whose every value is real has
-no other surrogate. Given names are left out of it, as people share them. Only
-the exceptions are joined back to the documents.
+again, until none is left, or ``MOST_DRAWS`` times. Given names are left out of it. Only the exceptions are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -45,6 +44,8 @@ PAGE = 1 << 12
 GROWS_AFTER = 4
 #: Draws after which a value keeps a surrogate that is real or another's.
 MOST_DRAWS = 40
+#: Draws after which numbers and addresses leave their format, as it may have no free value.
+FULL_AFTER = 40
 
 #: Titles by gender, and given names by script and gender.
 TITLES = {
@@ -180,7 +181,9 @@ def entities_of(text: str | None) -> list[tuple[int, int, str, str]]:
 
 def _draw(key: bytes, *parts: object) -> bytes:
     data = "\x1f".join(map(str, parts)).encode()
-    return hashlib.blake2b(data, key=key[:64], digest_size=64).digest()
+    if len(key) > 64:  # the longest key of the hash
+        key = hashlib.blake2b(key).digest()
+    return hashlib.blake2b(data, key=key, digest_size=64).digest()
 
 
 def _stream(key: bytes, count: int, *parts: object) -> list[int]:
@@ -262,6 +265,17 @@ def _more(key: bytes, tweak: str, canonical: str, attempt: int) -> str:
     return "".join(LOWER[n % len(LOWER)] for n in _stream(key, count, "more", tweak, canonical))
 
 
+def _longer(key: bytes, tweak: str, canonical: str, attempt: int) -> str:
+    """Digits that a number gets after ``FULL_AFTER`` draws, one more with each."""
+    count = max(attempt - FULL_AFTER, 0)
+    return "".join(DIGITS[n % len(DIGITS)] for n in _stream(key, count, "longer", tweak, canonical))
+
+
+def _syllables(key: bytes, tweak: str, canonical: str, count: int) -> str:
+    syllables = SYLLABLES[script_of(canonical)]
+    return "".join(syllables[n % len(syllables)] for n in _stream(key, count, "syllables", tweak, canonical))
+
+
 @worker_cache(maxsize=100_000)
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """Canonical form of the replacement. ``attempt`` draws anew after a collision."""
@@ -273,32 +287,29 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         local = _letters(key, tweak, local, [LOWER, DIGITS, MARKED]) + _more(key, tweak, canonical, attempt)
         return f"{local}@{_letters(key, 'host', host, [LOWER, DIGITS, MARKED])}.{top}"
     if kind == "ip":
+        if attempt > FULL_AFTER:  # an address of the next protocol, in its range for examples
+            return ":".join(["2001", "db8", *(f"{n:x}" for n in _stream(key, 6, tweak, canonical))])
         value = [int(part) for part in canonical.split(".")]
         return ".".join(map(str, permute(key, tweak, value, [256] * 4)))
     if kind == "phone":
         # The leading one is the country's and stays, as does an exchange of fictional numbers.
         head = 1 if len(canonical) == 11 and canonical[0] == "1" else 0
-        return canonical[:head] + _letters(key, tweak, canonical[head:], [DIGITS])
+        new = canonical[:head] + _letters(key, tweak, canonical[head:], [DIGITS])
+        return new + _longer(key, tweak, canonical, attempt)
     if kind == "card" and _check_digit(canonical[:-1]) == canonical[-1]:
-        body = _letters(key, f"{tweak}|checked", canonical[:-1], [DIGITS])
+        body = _letters(key, f"{tweak}|checked", canonical[:-1], [DIGITS]) + _longer(key, tweak, canonical, attempt)
         return body + _check_digit(body)
     if kind in ("card", "ssn"):
-        return _letters(key, tweak, canonical, [DIGITS])
+        return _letters(key, tweak, canonical, [DIGITS]) + _longer(key, tweak, canonical, attempt)
     if kind == "secret":
         alphabets = [HEX] if set(canonical) <= set(HEX) else [LOWER, LOWER.upper(), DIGITS]
         return _letters(key, tweak, canonical, alphabets) + _more(key, tweak, canonical, attempt)
-    script = script_of(canonical)
-    raw = _draw(key, tweak, canonical)
     if kind == "surname":
-        syllables = SYLLABLES[script]
-        picks = (int.from_bytes(raw[2 * i : 2 * i + 2], "little") for i in range(3 + attempt % 3))
-        return "".join(syllables[pick % len(syllables)] for pick in picks)
-    names = [name for name in GIVEN[script, kind.removeprefix("given-")] if name.lower() != canonical]
-    name = names[int.from_bytes(raw[:4], "little") % len(names)].lower()
-    # Beyond the list's length a second name keeps people apart.
-    if attempt < 3:
-        return name
-    return f"{name}-{names[int.from_bytes(raw[4:8], 'little') % len(names)].lower()}"
+        return _syllables(key, tweak, canonical, 3 + attempt)
+    names = [name for name in GIVEN[script_of(canonical), kind.removeprefix("given-")] if name.lower() != canonical]
+    name = names[int.from_bytes(_draw(key, tweak, canonical)[:4], "little") % len(names)].lower()
+    # The lists are short: from the first collision on a second name keeps people apart.
+    return f"{name}-{_syllables(key, tweak, canonical, 1 + attempt)}" if attempt else name
 
 
 def _digit(digit: str, like: str) -> str:
@@ -310,7 +321,9 @@ def fitted(original: str, replacement: str, kind: str) -> str:
     """The replacement with the punctuation and case of the mention it stands for."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(replacement)
-        return "".join(_digit(next(digits), c) if c.isdecimal() else c for c in original)
+        new = "".join(_digit(next(digits), c) if c.isdecimal() else c for c in original)
+        like = next(c for c in reversed(original) if c.isdecimal())
+        return new + "".join(_digit(d, like) for d in digits)
     if kind == "ip":
         return "".join(_digit(c, original[0]) if c.isdecimal() else c for c in replacement)
     if kind == "surname" or kind.startswith("given"):

@@ -207,3 +207,18 @@ def test_redraws_end_where_a_format_is_full(spark):
     docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
     out = [r.text for r in pii.with_surrogates(docs, KEY).collect()]
     assert len(set(out)) == 10 and not set(out) & set(values)
+
+
+def test_every_kind_has_free_values_after_many_draws():
+    """Also where all values of a format are real, a later draw is another one and no value of the format."""
+    late = pii.FULL_AFTER + 6
+    for kind, value in [("phone", "12345678"), ("card", "4111111111111111"), ("ssn", "123456789"), ("ip", "1.2.3.4")]:
+        new = {pii.surrogate(KEY, kind, value, attempt) for attempt in range(pii.FULL_AFTER + 1, late)}
+        assert len(new) == late - pii.FULL_AFTER - 1
+        assert all(":" in n if kind == "ip" else len(n) > len(value) for n in new)
+    assert pii._check_digit(pii.surrogate(KEY, "card", "4111111111111111", late)[:-1]) == pii.surrogate(KEY, "card", "4111111111111111", late)[-1]
+    assert pii.fitted("+12 34-56", "6543217", "phone") == "+65 43-217"
+    for kind in ("surname", "given-male", "given-female", "given-any"):
+        lengths = [len(pii.surrogate(KEY, kind, "qa", attempt)) for attempt in (0, 20, 60)]
+        assert lengths == sorted(set(lengths)) and lengths[-1] > 60
+    assert pii.surrogate(b"k" * 64 + b"a", "ssn", "123456789") != pii.surrogate(b"k" * 64 + b"b", "ssn", "123456789")
