@@ -16,9 +16,9 @@ right gets a surrogate whose check digit is right. Given names come
 from lists by script and gender, never the name itself, surnames from syllables; both grow
 with each draw, as do other values after some draws, so there are always free ones.
 
-A check over all distinct entities finds surrogates that equal another's or
-that equal a real entity of the data; all but the first of each are drawn
-again, until none is left, or ``MOST_DRAWS`` times. Given names are left out of it. Only the exceptions are joined back to the documents.
+A check over all distinct entities, given names among them, finds surrogates that equal
+another's or that equal a real entity of the data; all but the first of each are drawn
+again, until none is left. Only the exceptions are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ ROUNDS = 6
 PAGE = 1 << 12
 #: Draws after which e-mail addresses and secrets grow, as their format may have no free value.
 GROWS_AFTER = 4
-#: Draws after which a value keeps a surrogate that is real or another's.
-MOST_DRAWS = 40
 #: Draws after which numbers and addresses leave their format, as it may have no free value.
 FULL_AFTER = 40
 
@@ -412,26 +410,28 @@ def collisions(tables: OwnedTables, found: DataFrame, secret: bytes) -> tuple[Da
     """Entities whose attempt is above 0, and how many they are.
 
     Each round draws surrogates for the entities still open, and finds those
-    that equal a real entity, or one drawn for another entity; of equal ones
-    the first in canonical order keeps it. Given names need not be distinct by
-    themselves: two people may share one.
+    that equal a real entity of their family, or one drawn for another entity of it; of
+    equal ones the first by canonical form and kind keeps it. Rounds go on until
+    every surrogate is one entity's alone and no real one: with each draw there are more
+    values to draw from, so they end.
     """
     everyone = tables.write(found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), "entities")
     current, step = tables.write(_drawn(everyone, secret), "drawn-0"), 0
-    real = everyone.select(F.col("kind").alias("real_kind"), F.col("canonical").alias("real"))
-    while step < MOST_DRAWS:
-        checked = current.where(~F.col("kind").startswith("given"))
+    real = everyone.select(_family(F.col("kind")).alias("real_family"), F.col("canonical").alias("real")).distinct()
+    holder = F.struct("canonical", "kind")
+    while True:
+        checked = current.withColumn("family", _family(F.col("kind")))
         taken = (
-            checked.groupBy("kind", "drawn")
-            .agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("users"))
+            checked.groupBy("family", "drawn")
+            .agg(F.min(holder).alias("first"), F.count(F.lit(1)).alias("users"))
             .where("users > 1")
-            .select(F.col("kind").alias("taken_kind"), F.col("drawn").alias("taken"), "first")
-        )
-        twice = checked.join(taken, (F.col("kind") == F.col("taken_kind")) & (F.col("drawn") == F.col("taken"))).where(
-            "canonical <> first"
+            .select(F.col("family").alias("taken_family"), F.col("drawn").alias("taken"), "first")
         )
+        twice = checked.join(
+            taken, (F.col("family") == F.col("taken_family")) & (F.col("drawn") == F.col("taken"))
+        ).where(holder != F.col("first"))
         again = (
-            checked.join(real, (F.col("kind") == F.col("real_kind")) & (F.col("drawn") == F.col("real")))
+            checked.join(real, (F.col("family") == F.col("real_family")) & (F.col("drawn") == F.col("real")))
             .select("kind", "canonical")
             .unionByName(twice.select("kind", "canonical"))
             .distinct()

@@ -222,3 +222,16 @@ def test_every_kind_has_free_values_after_many_draws():
         lengths = [len(pii.surrogate(KEY, kind, "qa", attempt)) for attempt in (0, 20, 60)]
         assert lengths == sorted(set(lengths)) and lengths[-1] > 60
     assert pii.surrogate(b"k" * 64 + b"a", "ssn", "123456789") != pii.surrogate(b"k" * 64 + b"b", "ssn", "123456789")
+
+
+def test_given_names_stay_apart_and_are_no_real_ones(spark):
+    """More given names than the lists hold, the lists' own among them, and one name with two titles."""
+    listed = [n for (script, gender), names in pii.GIVEN.items() for n in names if (script, gender) == ("latin", "male")]
+    names = [f"Q{a}{b}" for a in "abcdefgh" for b in "klmn"] + listed
+    texts = [f"Mr {name} Smith" for name in names] + [f"Mrs {listed[0]} Smith", f"Dr {listed[0]} Smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.with_surrogates(docs, KEY).collect()}
+    given = [rows[i].entities[0].surrogate.lower() for i in range(len(texts))]
+    assert len(set(given)) == len(texts) and not set(given) & {n.lower() for n in names}
+    assert {g.split("-")[0].capitalize() for g in given[: len(names)]} <= set(listed)
+    assert len({rows[i].entities[1].surrogate for i in range(len(texts))}) == 1
