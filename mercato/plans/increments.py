@@ -8,9 +8,9 @@ rebuilds the marts of which an input has moved since they were written, and no o
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.dates import month_of
@@ -22,6 +22,8 @@ from mercato.sources.tables import publish
 MONTH = "purchase_month"
 #: The part of rows without a date, as Spark names its folder.
 UNDATED = "__HIVE_DEFAULT_PARTITION__"
+#: Ids of orders that every task can hold, at some 50 bytes each.
+FEW_ORDERS = 2_000_000
 WHOLE = ("dim_customers", "dim_products", "dim_sellers")
 
 
@@ -52,20 +54,28 @@ def stage_months(
         within = F.col(MONTH).isin(dated)
         return rows.where(within | F.col(MONTH).isNull() if UNDATED in names else within)
 
+    def gathered(day: Column) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: chosen(rows.withColumn(MONTH, month_of(day))).hint("rebalance", MONTH)
+
     tables: dict[str, Table] = {}
-    for name, day in (("fct_sales", F.col("purchase_date")), ("dim_orders", _order_day(warehouse))):
-        rows = chosen(getattr(warehouse, name).withColumn(MONTH, month_of(day)))
-        gathered = rows.hint("rebalance", MONTH)
-        if name == "dim_orders":
-            gathered = gathered.sortWithinPartitions(MONTH, "order_status")
-        parts = store.write(name, gathered, MONTH)
+    # Rows without a date may have no order at all, so then all orders are needed.
+    part = warehouse
+    if UNDATED not in names:
+        part = warehouse.of_orders(lambda orders: orders.where(month_of(_order_day()).isin(dated)), FEW_ORDERS)
+    by_month = {
+        "fct_sales": part.fact_to_gather(gathered(F.col("purchase_date"))),
+        "dim_orders": gathered(_order_day())(part.dim_orders).sortWithinPartitions(MONTH, "order_status"),
+    }
+    for name, rows in by_month.items():
+        parts = store.write(name, rows, MONTH)
         tables[name] = updated(base.tables.get(name), rows.schema, names, parts)
     for name in WHOLE:
-        tables[name] = store.write_whole(name, getattr(warehouse, name), base.tables.get(name))
+        sources = warehouse.sources_of(name)
+        tables[name] = store.write_whole(name, getattr(warehouse, name), base.tables.get(name), sources, warehouse.location)
     return store.publish(base.with_batch(batch, tables))
 
 
-def _order_day(warehouse: Warehouse):
+def _order_day() -> Column:
     return F.col("order_purchase_timestamp").cast("date")
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,10 @@ from mercato.operators.durable import delete_path
 WRITE = "written_by"
 
 
+#: Keys are digests written as text, which only a codec of letter frequencies makes shorter.
+CODEC = "zstd"
+
+
 class Conflict(RuntimeError):
     """Another job has published the version that this one was to publish."""
 
@@ -120,24 +124,36 @@ class Snapshots:
         """Write ``df`` with a folder for each value of the column ``by``; the parts, by folder name."""
         label = f"{WRITE}=w{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}/{label}"
-        df.write.partitionBy(by).parquet(path)
+        df.write.partitionBy(by).parquet(path, compression=CODEC)
         place = self._hadoop.Path(path)
         names = [s.getPath().getName() for s in place.getFileSystem(self._conf).listStatus(place)]
         values = {text: text.split("=", 1)[1] for text in names if text.startswith(f"{by}=")}
         return {value: {"path": f"{label}/{text}"} for text, value in values.items()}
 
-    def write_whole(self, name: str, df: DataFrame, earlier: Table | None = None) -> Table:
+    def write_whole(
+        self,
+        name: str,
+        df: DataFrame,
+        earlier: Table | None = None,
+        sources: Mapping[str, DataFrame] | None = None,
+        rule: str = "",
+    ) -> Table:
         """Write ``df`` as a table of one part; the earlier table, if its rows are the same.
 
         Rows are compared by their number and the sum of their digests, which the
-        write itself adds up.
+        write itself adds up. With the ``sources`` from which ``df`` follows by a ``rule``, these are compared
+        first, by one scan each: where they are the same, ``df`` is not computed.
         """
+        if sources is not None:
+            made_from = {"rule": rule, **{source: self.state_of(rows) for source, rows in sources.items()}}
+            if not (earlier and earlier.schema == df.schema.json() and earlier.notes.get("sources") == made_from):
+                table = self.write_whole(name, df, earlier)
+                earlier = Table(table.schema, table.parts, {**table.notes, "sources": made_from})
+            return earlier
         label = f"{WRITE}=w{uuid.uuid4().hex}"
         seen = Observation(f"rows-{uuid.uuid4().hex}")
-        values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns]
-        digest = F.sum(F.xxhash64(*values, *(F.col(f"`{c}`").isNull() for c in df.columns)).cast("decimal(38,0)"))
-        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), digest.alias("digest"))
-        watched.write.parquet(f"{self.folder}/{name}/{label}")
+        watched = df.observe(seen, *_state(df))
+        watched.write.parquet(f"{self.folder}/{name}/{label}", compression=CODEC)
         found = seen.get
         state = {"rows": found["rows"], "digest": str(found["digest"])}
         table = Table(df.schema.json(), {"all": {"path": label, **state}})
@@ -148,6 +164,11 @@ class Snapshots:
                 return earlier
         return table
 
+    def state_of(self, df: DataFrame) -> dict[str, Any]:
+        """Number of rows and sum of their digests, by which ``write_whole`` compares tables."""
+        (found,) = df.agg(*_state(df)).collect()
+        return {"rows": found["rows"], "digest": str(found["digest"])}
+
     def read(self, manifest: Manifest, name: str) -> DataFrame:
         """A table as the manifest has it; folders of parts that a filter excludes are not read."""
         return self.read_parts(name, manifest.tables[name])
@@ -179,6 +200,12 @@ class Snapshots:
         return unused
 
 
+def _state(df: DataFrame) -> list[Column]:
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns]
+    digest = F.sum(F.xxhash64(*values, *(F.col(f"`{c}`").isNull() for c in df.columns)).cast("decimal(38,0)"))
+    return [F.count(F.lit(1)).alias("rows"), digest.alias("digest")]
+
+
 def updated(table: Table | None, schema: T.StructType, drop: Iterable[str], parts: Mapping[str, dict], **notes) -> Table:
     """A table with some parts gone and others put in."""
     kept = dict(table.parts) if table else {}

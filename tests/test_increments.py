@@ -9,6 +9,7 @@ import pytest
 from mercato.plans import increments
 from mercato.plans.increments import open_snapshot, publish_marts, refresh, stage_months
 from mercato.plans.warehouse import Warehouse
+from mercato.sources import snapshots
 from mercato.sources.snapshots import Conflict, Manifest, Snapshots
 
 RANGE = {"start": dt.date(2018, 1, 1), "end": dt.date(2018, 4, 1)}
@@ -139,3 +140,36 @@ def test_date_ranges_prune_months(spark, tmp_path):
     growth = open_snapshot(spark, folder, start=FEBRUARY, end=MARCH).daily_volatility
     plan = growth._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(purchase_month" in plan
+
+
+def test_an_unchanged_dimension_is_not_built_again(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "s")
+    first = stage_months(source(spark), folder, [JANUARY, None], "first")
+    # A table that was written and found to be the same is deleted again.
+    deleted = []
+    monkeypatch.setattr(snapshots, "delete_path", lambda spark, path: deleted.append(path.split("/")[-2]))
+    second = stage_months(source(spark), folder, [FEBRUARY, MARCH], "second")
+    assert deleted == [] and all(second.tables[n] == first.tables[n] for n in ("dim_customers", "dim_products", "dim_sellers"))
+    held_against(spark, folder, source(spark))
+    sellers = [*market.BASE["sellers"], market.BASE["sellers"][0]]
+    third = stage_months(source(spark, sellers=sellers), folder, [], "a row twice")
+    # The raw rows moved, the dimension did not.
+    assert deleted == ["dim_sellers"] and third.tables["dim_sellers"].parts == first.tables["dim_sellers"].parts
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_months_of_few_and_of_many_orders_are_the_same(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(increments, "FEW_ORDERS", few)
+    folder, warehouse = str(tmp_path / "s"), source(spark)
+    assert (warehouse.of_orders(lambda orders: orders, few) is warehouse) == (few == 0)
+    for months in ([JANUARY], [FEBRUARY, MARCH], [None], [JANUARY, MARCH]):
+        stage_months(warehouse, folder, months, str(months))
+    held_against(spark, folder, warehouse)
+
+
+def test_the_key_is_no_part_of_the_shuffle(spark):
+    seen = []
+    warehouse = source(spark)
+    fact = warehouse.fact_to_gather(lambda rows: seen.append(rows.columns) or rows)
+    assert "sales_key" not in seen[0] and rows(fact) == rows(warehouse.fct_sales)
+    assert fact.columns == warehouse.fct_sales.columns
