@@ -223,3 +223,15 @@ def test_shuffle_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     session.tune(spark, sf_dir, sf_dir, limit=50_000)
     assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 50_000
     spark.conf.unset(session.INITIAL_PARTITIONS)
+
+
+def test_medium_inputs_get_fine_partitions(spark, monkeypatch):
+    """Of 3 GB stored, a task gets no more than a thousandth."""
+    before = spark.conf.get(session.INITIAL_PARTITIONS, None)
+    monkeypatch.setattr(session, "stored_bytes", lambda *_: 3 * 10**9)
+    session.tune(spark, "a table")
+    assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 1000
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+    spark.conf.unset(session.INITIAL_PARTITIONS)
+    if before:
+        spark.conf.set(session.INITIAL_PARTITIONS, before)
