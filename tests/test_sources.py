@@ -237,3 +237,24 @@ def test_medium_inputs_get_fine_partitions(spark, monkeypatch):
     spark.conf.unset(session.INITIAL_PARTITIONS)
     if before:
         spark.conf.set(session.INITIAL_PARTITIONS, before)
+
+
+def test_a_scan_task_reads_a_bounded_split(spark, tmp_path):
+    """A large table's scan is cut by bytes, whatever the session has set before."""
+    from mercato import session
+
+    path = str(tmp_path / "t")
+    spark.range(0, 9_000_000, 1, 1).selectExpr("id", "xxhash64(id) AS a").write.option(
+        "parquet.block.size", 8 * 2**20
+    ).parquet(path)
+    assert session.stored_bytes(spark, path) > 80 * 2**20
+    settings = {"spark.sql.files.maxPartitionBytes": "128MB", "spark.sql.files.minPartitionNum": "1"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    assert spark.read.parquet(path).rdd.getNumPartitions() == 1
+    session.tune(spark)
+    assert spark.read.parquet(path).rdd.getNumPartitions() >= 3
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    session.tune(spark)
