@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import arrow_map, importable, only, remainder, worker_cache
+from mercato.llm.common import arrow_map, importable, only, remainder, worker_cache, small_batches
 
 #: Slots for hashed n-grams, a power of two.
 SLOT_BITS = 14
@@ -145,6 +145,7 @@ def _count_slots(rows: DataFrame, text: str, label: str) -> DataFrame:
             yield _record(name, slots, counts[slots])
 
     importable(rows.sparkSession)
+    small_batches(rows.sparkSession)
     counted = only(rows, label, text).mapInArrow(run, schema)
     return counted.groupBy("label", "slot").agg(F.sum("hits").alias("hits"))
 

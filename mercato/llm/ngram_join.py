@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import arrow_map, begin, importable, only
+from mercato.llm.common import arrow_map, begin, importable, only, small_batches
 from mercato.operators.durable import OwnedTables, written
 
 U64 = np.uint64
@@ -196,13 +196,19 @@ def _unpack_owners(raw: bytes, count: int) -> np.ndarray:
 
 
 def _distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sets and tokens of all parts, by token and set, each pair once."""
-    owners, tokens = (np.concatenate(part) for part in zip(*parts, strict=True))
+    """Sets and tokens of all parts, by token and set, each pair once; empties ``parts``."""
+    owners, tokens = np.concatenate([part[0] for part in parts]), np.concatenate([part[1] for part in parts])
+    parts.clear()
     order = np.lexsort((owners, tokens))
-    owners, tokens = owners[order], tokens[order]
+    owners = owners[order]
+    tokens = tokens[order]
+    del order
     fresh = np.ones(len(tokens), bool)
     fresh[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-    return owners[fresh], tokens[fresh]
+    if fresh.all():
+        return owners, tokens
+    owners = owners[fresh]
+    return owners, tokens[fresh]
 
 
 def _firsts(tokens: np.ndarray) -> np.ndarray:
@@ -252,6 +258,7 @@ def shared_tokens(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
     """``set_id``, ``token`` and ``sets`` (how many sets have it) for tokens of two sets or more."""
     spark = docs.sparkSession
     importable(spark)
+    small_batches(spark)
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     width, least = rule.width, smallest_linked(rule)
 
@@ -275,6 +282,7 @@ def shared_tokens(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
             yield _pack_chunk(sets, ranges)
 
     def count(table: pa.Table) -> pa.Table:
+        begin("counted_tokens")
         pairs: dict[int, list] = {_PAIRS: [], _NOTICE: [], _HOT_PAIRS: []}
         names = ("kind", "count", "bytes", "tokens", "owners", "sets")
         for kind, n, size, tokens, owners, sets in zip(*(table.column(name).to_pylist() for name in names), strict=True):
@@ -291,8 +299,9 @@ def shared_tokens(docs: DataFrame, text: str, rule: JoinRule) -> DataFrame:
             if pairs[_NOTICE]:
                 noticed = np.concatenate([tokens for _, tokens in pairs[_NOTICE]])
                 seen = np.where(np.isin(tokens[first], noticed), MANY, repeats)
-            seen = np.repeat(seen, repeats)
-            out.append((owners[seen > 1], tokens[seen > 1], seen[seen > 1]))
+            shared = np.repeat(seen > 1, repeats)
+            out.append((owners[shared], tokens[shared], np.repeat(seen[seen > 1], repeats[seen > 1])))
+            del owners, tokens, first, repeats, seen, shared
         columns = [np.concatenate(part) for part in zip(*out, strict=True)]
         return pa.table(
             {
@@ -364,8 +373,10 @@ def index_combinations(sets: DataFrame, rule: JoinRule) -> DataFrame:
     """
     source = only(sets, "node", "n", "tokens", "seen")
     importable(sets.sparkSession)
+    small_batches(sets.sparkSession)
 
     def run(batches):
+        begin("combinations")
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from mercato.llm import ngram_join as join
+from mercato.llm.common import ROWS_SENT, ROWS_SENT_KEY, small_batches
 from mercato.llm.queries import LLM_QUERIES
 
 
@@ -144,3 +146,37 @@ def test_hashes_follow_words():
     hashes = join.word_hashes(text)
     assert len(hashes) == 5 and hashes[0] == hashes[2] and hashes[1] == hashes[3]
     assert len({*join.word_hashes("a b ab ba aab " * 3)}) == 5
+
+
+def test_a_task_frees_its_parts_before_it_sorts():
+    pick = np.random.default_rng(2)
+    tracemalloc.start()
+    parts = [(pick.integers(0, 99, 50_000), pick.integers(0, 9999, 50_000, dtype=np.uint64)) for _ in range(8)]
+    pairs = {pair for owners, tokens in parts for pair in zip(tokens.tolist(), owners.tolist())}
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0] - 16 * 400_000
+    owners, tokens = join._distinct_pairs(parts)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert list(zip(tokens.tolist(), owners.tolist())) == sorted(pairs)
+    assert peak < 45 * 400_000
+
+
+def test_workers_get_few_rows_at_once(spark):
+    def most(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"n": [max((batch.num_rows for batch in batches), default=0)]})
+
+    before = spark.conf.get(ROWS_SENT_KEY)
+    try:
+        spark.conf.set(ROWS_SENT_KEY, "10000")
+        docs = spark.range(3 * ROWS_SENT, numPartitions=1).selectExpr("id doc_id", "concat('text ', id) text")
+        assert join.keep_one_of_each(docs).count() == 3 * ROWS_SENT
+        assert docs.mapInArrow(most, "n long").first()[0] == ROWS_SENT
+        for own, then in (("100", "100"), ("0", str(ROWS_SENT))):
+            spark.conf.set(ROWS_SENT_KEY, own)
+            small_batches(spark)
+            assert spark.conf.get(ROWS_SENT_KEY) == then
+    finally:
+        spark.conf.set(ROWS_SENT_KEY, before)
