@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as contract
 from mercato.catalog import REGISTRY, open_warehouse
 from mercato.operators.durable import new_path
-from mercato.plans import executive, growth, products
+from mercato.operators.ranking import percent_rank_desc
+from mercato.plans import executive, growth, products, risk
 from mercato.plans.warehouse import Warehouse
 from mercato.sources.retail import RANGE_END, RANGE_START, RetailTables
 
@@ -148,3 +149,43 @@ def test_orders_are_read_by_month_and_status(staged):
     scans = [line for line in whole.split("\n") if "FileScan" in line and "order_status" in line]
     assert len(scans) == 2 and all("purchase_month" in scan.split("PartitionFilters")[1] for scan in scans)
     assert any("EqualTo(order_status,canceled)" in scan for scan in scans)
+
+
+def test_lanes_shuffle_items_by_order_product_and_lane_only(spark, sf_dir):
+    """From raw tables customers meet the orders, and places travel as numbers."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with open_warehouse(spark, sf_dir) as warehouse:
+            tables = [getattr(warehouse, f"dim_{name}") for name in ("products", "sellers", "customers", "orders")]
+            lanes = risk.seller_lanes(warehouse.fct_plain, *tables, warehouse._with_people(), numbered=True)
+            lines = planned(lanes).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffles = [
+        (re.search(r"hashpartitioning\((.*), \d+\)", line).group(1), lines[place + 1])
+        for place, line in enumerate(lines)
+        if "Exchange hashpartitioning" in line
+    ]
+    by_customer = [below for keys, below in shuffles if re.fullmatch(r"customer_unique_id#\d+", keys)]
+    assert by_customer and not any("product_id" in below for below in by_customer)
+    by_product = [below for keys, below in shuffles if re.fullmatch(r"product_id#\d+L?", keys)]
+    assert any("customer_place" in below for below in by_product)
+    assert not any(re.search("customer_state|customer_region|price", below) for below in by_product)
+    by_lane = [keys for keys, _ in shuffles if keys.startswith("product_category#")]
+    assert by_lane and all("customer_place" in keys and "customer_state" not in keys for keys in by_lane)
+
+
+def test_percent_rank_shuffles_counted_values_once_for_join_and_window(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("cast(id % 3 as string) as g", "cast(id % 70 as decimal(22,2)) as v")
+        plan = planned(percent_rank_desc(rows, "g", "v", "rank"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = plan.split("\n")
+    (window,) = [i for i, line in enumerate(lines) if "Window [sum(_n" in line]
+    # The sort for the window lies upon the join, whose shuffle deals the values out already.
+    nearest = next(line for line in lines[window + 1 :] if re.search("Exchange|Join", line))
+    assert "SortMergeJoin" in nearest

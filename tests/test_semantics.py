@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import market
+from mercato.operators.joins import name_numbers, names_of_numbers, numbered_names
 from mercato.plans import customers, executive, growth, logistics, products, risk, staging
 from mercato.plans.warehouse import Warehouse
 
@@ -293,3 +294,50 @@ def test_free_category_has_ratio_over_zero_guarded(spark):
         warehouse.fct_plain, warehouse.dim_products, warehouse.dim_sellers,
         warehouse.dim_customers, warehouse.dim_orders,
     ).count() == 1
+
+
+def test_lanes_are_the_same_where_customers_meet_orders(spark):
+    """Orders, customers and products that come twice, and NULLs, multiply and drop out alike."""
+    base = market.BASE
+    raw = market.raw(
+        spark,
+        orders=[*base["orders"], *base["orders"][:2], market.order(None, "c1", "2018-02-01 08:00:00"),
+                market.order("o8", None, "2018-02-01 08:00:00"), market.order("o8", "c8", None)],
+        customers=[*base["customers"], ("c1", "u2", "natal", "RN"), ("c8", None, "x", "SP"), (None, "u9", "x", None)],
+        items=[*base["items"], market.item(None, 1), market.item("o8", 1), market.item("o1", 3, price="1.00"),
+               ("o3", 2, "p4", "s3", None, D("1.00")), ("o3", 3, None, "s3", D("1.00"), D("1.00")),
+               ("o4", 4, "p1", None, D("1.00"), D("1.00"))],
+        products=[*base["products"], ("p1", "moveis", 100, 10, 10, 50)],
+    )
+    with Warehouse.from_raw(raw) as warehouse:
+        tables = [getattr(warehouse, f"dim_{name}") for name in ("products", "sellers", "customers", "orders")]
+        # Places whose names are NULL, as another source may have them.
+        nameless = F.when(F.col("customer_unique_id") != "u2", F.col("brazil_region"))
+        tables[2] = tables[2].withColumn("brazil_region", nameless)
+        plain = risk.strategic_risk_map(warehouse.fct_plain, *tables)
+        early = risk.strategic_risk_map(
+            warehouse.fct_plain, *tables, write=warehouse._write, with_people=warehouse._with_people()
+        )
+        assert early.columns == plain.columns
+        rows = sorted(map(repr, early.collect()))
+        assert rows == sorted(map(repr, plain.collect()))
+        assert {row.customer_region for row in plain.collect()} >= {None}
+        # By hand: items and orders, customers and products joined row by row.
+        fact = warehouse.fct_plain
+        lines = (
+            fact.join(tables[3].select("order_id"), "order_id")
+            .join(tables[2].select("customer_unique_id"), "customer_unique_id")
+            .join(tables[0].select("product_id"), "product_id")
+            .join(tables[1].select("seller_id"), "seller_id")
+        )
+        assert sum(row.total_category_orders for row in early.collect()) == lines.count() > 20
+
+
+def test_names_and_their_numbers(spark):
+    rows = [("a", None), ("a", None), (None, "b"), (None, None), ("a", "b"), ("", "b")]
+    frame = spark.createDataFrame(rows, "s string, r string")
+    known = numbered_names(frame, ["s", "r"], "n")
+    assert sorted(row.n for row in known.collect()) == [1, 2, 3, 4, 5]
+    numbers = name_numbers(frame, known, ["s", "r"], "n").drop("s", "r")
+    back = names_of_numbers(numbers, known, "n").select("s", "r").collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(rows, key=repr)
